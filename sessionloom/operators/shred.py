@@ -151,36 +151,27 @@ def elements(columns: list[tuple[tuple[Step, ...], bool, Levels]]) -> list[str]:
     return [name(path, index) for path, flag, levels in columns if flag for index, definition, _ in positions(path, levels) if definition > len(path)]
 
 
-def _parent(path: tuple[Step, ...]) -> int:
-    """The length of the nearest repeated ancestor's path, 0 for the record itself."""
-    return max((k + 1 for k, step in enumerate(path[:-1]) if step is None), default=0)
+def _owner(path: tuple[Step, ...], index: list[int], rows: dict) -> int:
+    """How many steps of the path lead to the nearest array element above it that is an object; 0: the record."""
+    return next((k for k in range(len(path) - 1, 0, -1) if path[k - 1] is None and name(path[:k], index) in rows), 0)
 
 
 def tables(columns: list[tuple[tuple[Step, ...], bool, Levels]]) -> list[tuple[str, str, str | None, str]]:
     """Flat rows (table, node, parent node, JSON of the scalar fields) of one record; the root's node is ''."""
-    rows: dict[str, tuple[str, str | None, dict]] = {"": ("", None, {})}
-    for path, flag, levels in columns:
+    rows: dict[str, list] = {"": ["", None, {}]}
+    found = [(path, list(index), flag, value) for path, flag, levels in columns for index, definition, value in positions(path, levels) if definition > len(path)]
+    for path, index, flag, _ in found:
         if flag:
-            up = _parent(path)
-            for index, definition, _ in positions(path, levels):
-                if definition > len(path):
-                    rows[name(path, index)] = (name(path), name(path[:up], index), {})
-    for path, flag, levels in columns:
+            rows[name(path, index)] = [name(path), None, {}]
+    for path, index, flag, value in found:
+        cut = _owner(path, index, rows)
+        owner = name(path[:cut], index)
         if flag:
-            continue
-        # the row a scalar belongs to is the nearest array element that is an object
-        cuts = [k + 1 for k, step in enumerate(path) if step is None]
-        for index, definition, value in positions(path, levels):
-            if definition > len(path):
-                at = next((c for c in reversed(cuts) if c < len(path) and name(path[:c], index) in rows), 0)
-                rest = [i for i, step in zip(index, (s for s in path if s is None)) if True][sum(s is None for s in path[:at]) :]
-                rows[name(path[:at], index)][2][name(path[at:], rest)] = value
-    out = []
-    for node, (kind, up, fields) in rows.items():
-        while up and up not in rows:
-            up = up[: up.rindex("[")]
-        out.append((kind, node, up, json.dumps(fields, ensure_ascii=False)))
-    return out
+            rows[name(path, index)][1] = owner
+        else:
+            rest = index[sum(step is None for step in path[:cut]) :]
+            rows[owner][2][name(path[cut:], rest)] = value
+    return [(kind, node, up, json.dumps(fields, ensure_ascii=False)) for node, (kind, up, fields) in rows.items()]
 
 
 def _per_line(lines: DataFrame, fn, columns: str) -> DataFrame:
