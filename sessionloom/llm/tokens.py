@@ -138,7 +138,7 @@ def encode(documents: DataFrame, folder: str = FOLDER, name: str = "byte_bpe_50k
             "ids": pa.array([[ids for _, ids in r] for r in runs], pa.list_(_IDS)),
         }
 
-    def joined(key, table: pa.Table) -> pa.Table:
+    def joined(key, table):
         e = encoder(path)
         parts = sorted(table.to_pylist(), key=lambda r: r["at"])
         parts = [(r["text"], [(end, ids) for end, ids in zip(r["ends"], r["ids"])]) for r in parts]
