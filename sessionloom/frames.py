@@ -58,6 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stash(df: DataFrame) -> DataFrame:
+    """Write a result once to the shared checkpoint folder and read it back: no lineage, and read as often as needed."""
+    where = f"{checkpoint_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 UNICODE_SPACE = r"\p{IsWhite_Space}"
 
 
