@@ -16,11 +16,11 @@ no rows; repeated rows count once.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ from sessionloom.frames import by_batch, spread
 
 WINDOW, BANDS, SAMPLES, SEED = 13, 12, 6, 20_240_501
 BLOCK_BYTES = 32_000_000
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")  # letters and digits
 
 
 def words(text: str) -> list[str]:
