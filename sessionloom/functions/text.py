@@ -138,3 +138,13 @@ def text_at(value: Column, path: str) -> Column:
     """A string leaf of a VARIANT: null for numbers, objects and arrays, which a cast would stringify."""
     kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
     return F.when(kind == "STRING", F.try_variant_get(value, path, "string"))
+
+
+def one_json(text: Column) -> Column:
+    """A text as VARIANT if it is exactly one JSON value, else null.
+
+    Spark's parser stops after the first value; inside a list with a known end, anything further shows.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
+    alone = (F.try_variant_get(listed, "$[1]", "int") == 0) & F.try_variant_get(listed, "$[2]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))

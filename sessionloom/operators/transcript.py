@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.frames import utrim
-from sessionloom.functions.text import block, text_at
+from sessionloom.functions.text import block, one_json, text_at
 
 CALLS = ("function_call", "custom_tool_call")
 RESULTS = ("function_call_output", "custom_tool_call_output")
@@ -34,11 +34,11 @@ def _texts(value, path: str, kinds: tuple[str, ...] | None):
 
 def events(lines: DataFrame) -> DataFrame:
     """(session_id, line_no, kind, role, call_id, name, text) of the six kinds of response items; one row per line."""
-    v = F.try_parse_json("payload")
+    v = one_json(F.col("payload"))
     base = lines.where("type = 'response_item'").select("session_id", "line_no", v.alias("v")).dropDuplicates(["session_id", "line_no"]).where("v is not null")
     kind = text_at(F.col("v"), "$.type")
     output = utrim(text_at(F.col("v"), "$.output"))
-    inner = utrim(text_at(F.try_parse_json(output), "$.output"))
+    inner = utrim(text_at(one_json(output), "$.output"))
     text = (
         F.when(F.col("kind") == "message", F.array_join(_texts(F.col("v"), "$.content", ("input_text", "output_text")), "\n\n"))
         .when(F.col("kind") == "reasoning", F.array_join(_texts(F.col("v"), "$.summary", None), "\n"))

@@ -1,0 +1,121 @@
+"""The core's queries in SQL over the same tables, written independently of the DataFrame form."""
+
+from __future__ import annotations
+
+from sessionloom.functions.text import FAILURES
+from sessionloom.operators.redact import PATTERNS
+
+_WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_DELIM = _WS[:-1] + r"""''"`,;()\[\]{}]"""
+_EDGE = r"[^\p{L}\p{M}\p{N}.\-_/@]"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_D = "d AS (SELECT DISTINCT ON (draft_id) * FROM drafts)"
+_T = "t AS (SELECT DISTINCT ON (draft_id) * FROM tokenised_entries)"
+_L = "l AS (SELECT DISTINCT ON (session_id, line_no) * FROM session_lines)"
+_E = "e AS (SELECT DISTINCT ON (id) * FROM entries)"
+
+
+def _lits(original: str, tokenised: str) -> str:
+    """A list of the original's masked tokens."""
+    cut = f"list_transform(regexp_split_to_array({original}, '{_DELIM}'), lambda w: regexp_replace(regexp_replace(w, '^{_EDGE}+', ''), '{_EDGE}+$', ''))"
+    return f"coalesce(list_filter({cut}, lambda w: strlen(w) >= 8 AND NOT contains({tokenised}, w)), [])"
+
+
+_LITERALS = f"""{_D}, {_T}, pair AS (SELECT d.draft_id, d.quote q, t.body b, d.title qt, t.title bt, d.category qc, t.category bc, list_zip(d.tags, t.tags, true) z FROM d JOIN t USING (draft_id)),
+lit AS (SELECT draft_id, unnest({_lits('q', 'b')}) AS literal FROM pair
+ UNION ALL SELECT draft_id, unnest({_lits('qt', 'bt')}) FROM pair
+ UNION ALL SELECT draft_id, unnest({_lits('qc', 'bc')}) FROM pair
+ UNION ALL SELECT draft_id, unnest({_lits('g.a', 'g.b')}) FROM (SELECT draft_id, {{'a': x[1], 'b': x[2]}} AS g FROM (SELECT draft_id, unnest(z) AS x FROM pair)))"""
+_KNOWN = "known AS (SELECT DISTINCT literal FROM lit)"
+_FIELDS = "field AS (SELECT draft_id, 'title' AS field, 0 AS ix, title AS txt FROM t UNION ALL SELECT draft_id, 'category', 0, category FROM t UNION ALL SELECT draft_id, 'body', 0, body FROM t UNION ALL SELECT draft_id, 'tag', unnest(range(len(tags))), unnest(tags) FROM t)"
+_HITS = f"{_LITERALS}, {_KNOWN}, {_FIELDS}, hit AS (SELECT draft_id, field, count(*) AS hits FROM field JOIN known ON contains(txt, literal) GROUP BY 1, 2)"
+
+
+def _str(path: str, of: str = "payload") -> str:
+    return f"CASE WHEN json_type({of}, '{path}') = 'VARCHAR' THEN json_extract_string({of}, '{path}') END"
+
+
+def _items(path: str, keep: str, take: str) -> str:
+    return f"list_filter(list_transform(list_filter(CASE WHEN json_type(payload, '{path}') = 'ARRAY' THEN CAST(json_extract(payload, '{path}') AS JSON[]) END, lambda x: {keep}), lambda x: {take}), lambda y: y IS NOT NULL)"
+
+
+_ITEM = _str("$.text", "x")
+_EVENTS = f"""{_L}, ok AS (SELECT session_id, line_no, payload FROM l WHERE type = 'response_item' AND json_valid(payload)),
+k AS (SELECT *, {_str('$.type')} AS kind FROM ok),
+o AS (SELECT *, {_trim(_str('$.output'))} AS output FROM k WHERE kind IN ('message', 'reasoning', 'function_call', 'custom_tool_call', 'function_call_output', 'custom_tool_call_output')),
+ev AS (SELECT session_id, line_no, kind, {_str('$.role')} AS role, {_str('$.call_id')} AS call_id, coalesce({_str('$.name')}, 'unknown') AS name,
+ CASE kind WHEN 'message' THEN array_to_string({_items('$.content', "json_extract_string(x, '$.type') IN ('input_text', 'output_text')", _ITEM)}, chr(10) || chr(10))
+  WHEN 'reasoning' THEN array_to_string({_items('$.summary', 'true', f"CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE {_ITEM} END")}, chr(10))
+  WHEN 'function_call' THEN {_str('$.arguments')} WHEN 'custom_tool_call' THEN {_str('$.input')} WHEN 'function_call_output' THEN output
+  ELSE coalesce(CASE WHEN json_valid(output) THEN nullif({_trim(_str('$.output', 'output'))}, '') END, output) END AS txt FROM o),
+named AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('function_call', 'custom_tool_call') AND call_id IS NOT NULL THEN name END IGNORE NULLS) OVER (PARTITION BY session_id, coalesce(call_id, '') ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'unknown') AS call_name FROM ev)"""
+_TURNS = f"{_EVENTS}, turn AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY line_no) - 1 AS turn_no, role, txt FROM ev WHERE kind = 'message' AND role IN ('user', 'assistant') AND {_trim('txt')} <> '')"
+_WINDOWS = f"{_TURNS}, last AS (SELECT session_id, max(turn_no) AS m FROM turn GROUP BY 1), start AS (SELECT session_id, unnest(generate_series(0, m, 4)) AS start_turn FROM last), win AS (SELECT s.session_id, s.start_turn, turn_no, role, txt FROM start s JOIN turn t ON t.session_id = s.session_id AND turn_no BETWEEN start_turn AND start_turn + 7)"
+_STATS = f"{_WINDOWS}, st AS (SELECT session_id, start_turn, max(turn_no) AS end_turn, count(*) AS n, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, CAST(sum(length(txt)) AS BIGINT) AS chars, count(*) FILTER (length(txt) > 20) AS long_turns FROM win GROUP BY 1, 2), good AS (SELECT * FROM st WHERE users > 0 AND assistants > 0 AND long_turns >= 2 AND chars >= 100 AND n - long_turns <= 0.5 * n)"
+_RANGES = f"{_STATS}, r AS (SELECT session_id, start_turn, end_turn, chars % 100 AS score FROM good)"
+_FILES = "f AS (SELECT DISTINCT ON (session_id) path AS session_key, transcript AS content, sha256(transcript) AS sha, strlen(transcript) AS n FROM prepared_sessions WHERE transcript IS NOT NULL)"
+#: the state as the query makes it; the first 100 bytes of a transcript are its header, which is ASCII
+_STATE = f"{_FILES}, s AS (SELECT session_key, CASE WHEN n % 5 = 0 THEN 'other' WHEN n % 3 = 0 THEN sha256(left(content, 100)) ELSE sha END AS sha, CASE WHEN n % 3 = 0 AND n % 5 <> 0 THEN 100 ELSE n END AS n, CASE WHEN n % 11 = 0 THEN '0.0.9' ELSE '0.1.0' END AS version FROM f WHERE n % 7 <> 0)"
+_MD = f"{_E}, md AS (SELECT id, regexp_replace(coalesce(body, '') || chr(10), '^\\n+', '') || chr(10) || {_trim('title')} || chr(10) || {_trim('category')} || chr(10) || CASE WHEN len(tags) > 0 THEN chr(10) || array_to_string(list_transform(tags, lambda x: {_trim('x')}), chr(10)) ELSE '' END AS shown FROM e)"
+_WORDS = [(name, w) for name, words in FAILURES for w in words]
+_CLASS = "CASE line_no % 14 " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(_WORDS)) + " ELSE 'none' END"
+
+SQL = {
+    "stats_bytes": "SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents",
+    "session_stats": f"WITH {_L} SELECT project_name, count(*) AS lines, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM l GROUP BY 1",
+    "line_counters": f"WITH {_L} SELECT type, count(*) AS lines, count(*) FILTER (event_ts IS NULL) AS undated, count(DISTINCT session_id) AS sessions FROM l GROUP BY 1",
+    "dialect_sniff": f"""WITH l AS (SELECT DISTINCT ON (session_id, line_no) session_id, line_no, type, file_path, CASE WHEN json_valid(payload) THEN payload END AS payload FROM session_lines), x AS (SELECT session_id, file_path, coalesce(type = 'session_meta' AND starts_with(lower({_trim(_str('$.originator'))}), 'codex') AND lower({_trim(_str('$.source'))}) IN ('cli', 'exec'), false) AS is_event, payload FROM l WHERE line_no = 1),
+ y AS (SELECT *, string_split(file_path, '/') AS parts, string_split(string_split(file_path, '/')[-2], '-') AS names FROM x)
+ SELECT session_id, is_event, CASE WHEN is_event THEN coalesce(nullif(regexp_replace(regexp_extract({_str('$.git.repository_url')}, '([^/:]*)$', 1), '(\\.git)+$', ''), ''), nullif(regexp_extract({_str('$.cwd')}, '([^/]*)/*$', 1), ''), 'unknown') ELSE array_to_string(names[-2:], '-') END AS project_name, regexp_replace(parts[-1], '\\.[^.]*$', '') AS path_session FROM y""",
+    "repo_names": f"WITH {_L} SELECT session_id, line_no, CASE WHEN json_valid(payload) THEN nullif(regexp_replace(regexp_extract(json_extract_string(payload, '$.git.repository_url'), '([^/:]*)$', 1), '(\\.git)+$', ''), '') END AS repo FROM l WHERE type = 'session_meta'",
+    "block_format": f"WITH {_D}, b AS (SELECT draft_id, {_trim('quote')} AS x FROM d WHERE quote IS NOT NULL) SELECT draft_id, '[HUMAN]:' || CASE WHEN contains(x, chr(10)) THEN chr(10) ELSE ' ' END || x AS block FROM b",
+    "utc_format": f"WITH {_D} SELECT draft_id, strftime(extracted_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS extracted FROM d",
+    "ansi_strip": r"SELECT doc_id, sha256(replace(regexp_replace(text, '\x1b\[[^A-z]*[A-z]', '', 'g'), chr(27), '')) AS hash FROM documents WHERE text IS NOT NULL",
+    "failure_class": f"WITH {_L} SELECT session_id, line_no, {_CLASS} AS class FROM l",
+    "zip_tags": f"WITH {_D}, {_T} SELECT draft_id, array_to_string(list_transform(list_zip(d.tags, t.tags, true), lambda p: p[1] || '=' || p[2]), '|') AS pairs FROM d JOIN t USING (draft_id)",
+    "explode_tags": f"WITH {_D} SELECT draft_id, CAST(unnest(range(len(tags))) AS INTEGER) AS ix, unnest(tags) AS tag FROM d",
+    "scannable_content": f"WITH {_MD} SELECT id, shown FROM md",
+    "event_rows": f"WITH {_EVENTS} SELECT session_id, line_no, kind, role, call_id, name, sha256(txt) AS hash FROM ev",
+    "call_names": f"WITH {_EVENTS} SELECT session_id, line_no, call_id, call_name FROM named WHERE kind IN ('function_call_output', 'custom_tool_call_output')",
+    "transcripts": f"""WITH {_EVENTS}, lab AS (SELECT session_id, line_no, {_trim('txt')} AS x, CASE WHEN kind = 'message' AND role = 'user' THEN 'HUMAN' WHEN kind = 'message' AND role = 'assistant' THEN 'ASSISTANT' WHEN kind = 'reasoning' THEN 'THINKING' WHEN kind IN ('function_call', 'custom_tool_call') THEN 'TOOL_INPUT:' || name WHEN kind <> 'message' THEN 'TOOL_RESULT:' || call_name END AS label FROM named)
+ SELECT session_id, string_agg('[' || label || ']:' || CASE WHEN contains(x, chr(10)) THEN chr(10) ELSE ' ' END || x, chr(10) || chr(10) ORDER BY line_no) AS transcript FROM lab WHERE label IS NOT NULL AND x <> '' GROUP BY 1""",
+    "role_classes": f"WITH {_L} SELECT session_id, line_no, CASE WHEN type = 'user' AND json_valid(payload) AND json_type(payload, '$.content') = 'ARRAY' AND len(list_filter(CAST(json_extract(payload, '$.content') AS JSON[]), lambda x: json_extract_string(x, '$.type') = 'tool_result')) > 0 THEN 'tool' ELSE type END AS role FROM l WHERE type IN ('user', 'assistant')",
+    "masked_literals": f"WITH {_LITERALS} SELECT draft_id, literal, count(*) AS n FROM lit GROUP BY 1, 2",
+    "registry_build": f"WITH {_LITERALS} SELECT DISTINCT sha256(literal) AS hash, CAST(strlen(literal) AS INTEGER) AS length FROM lit",
+    "leak_scan": f"WITH {_LITERALS}, {_KNOWN}, {_E} SELECT DISTINCT id, sha256(literal) AS hash FROM e JOIN known ON contains(body, literal)",
+    "leak_hits": f"WITH {_HITS} SELECT draft_id, field, hits FROM hit",
+    "leak_review": f"WITH {_HITS}, h AS (SELECT draft_id, CAST(sum(hits) AS BIGINT) AS hits FROM hit GROUP BY 1) SELECT draft_id, coalesce(hits, 0) AS hits, coalesce(needs_review, false) OR hits IS NOT NULL AS needs_manual_review, coalesce(review_reason, hits || ' registry hit(s)') AS review_reason FROM t LEFT JOIN h USING (draft_id)",
+    "sequential_leaks": f"WITH {_LITERALS}, first AS (SELECT literal, min(epoch_us(extracted_at)) AS seq FROM lit JOIN d USING (draft_id) GROUP BY 1) SELECT DISTINCT t.draft_id, sha256(literal) AS hash FROM t JOIN d USING (draft_id) JOIN first ON contains(t.body, literal) AND seq <= epoch_us(d.extracted_at)",
+    "validate_counts": f"WITH {_LITERALS}, {_KNOWN}, {_MD}, h AS (SELECT DISTINCT id FROM md JOIN known ON contains(shown, literal)) SELECT h.id IS NOT NULL AS leaked, count(*) AS n FROM md LEFT JOIN h USING (id) GROUP BY 1",
+    "redact_values": f"WITH {_D}, v AS (" + " UNION ".join(f"SELECT draft_id, '{kind}' AS type, unnest(regexp_extract_all(quote, {_q(p)})) AS value FROM d WHERE quote IS NOT NULL" for kind, p in PATTERNS) + ") SELECT type, count(*) AS n, count(DISTINCT value) AS \"values\" FROM v GROUP BY 1",
+    "placeholder_integrity": f"""WITH {_T}, u AS (SELECT draft_id, list_distinct(regexp_extract_all(concat_ws(chr(10), title, category, array_to_string(tags, chr(10)), body), '#[A-Z][A-Z0-9_]*_[0-9]{{3,}}#')) AS used, coalesce(json_keys(entities), []) AS keys FROM t),
+ g AS (SELECT draft_id, array_to_string(list_sort(list_filter(used, lambda x: NOT list_contains(keys, x))), ',') AS unlisted, array_to_string(list_sort(list_filter(keys, lambda x: NOT list_contains(used, x))), ',') AS unused FROM u) SELECT * FROM g WHERE unlisted <> '' OR unused <> ''""",
+    "entity_edges": f"""WITH {_T}, k AS (SELECT draft_id, entities, unnest(json_keys(entities)) AS placeholder FROM t WHERE entities IS NOT NULL) SELECT draft_id, placeholder, json_extract_string(entities, '$."' || placeholder || '".type') AS type FROM k""",
+    "draft_contract": f"WITH {_D}, p AS (SELECT DISTINCT ON (session_id) session_id, transcript FROM prepared_sessions) SELECT draft_id, length(title) <= 80 AS title_ok, len(tags) BETWEEN 2 AND 5 AS tags_ok, coalesce(contains(transcript, string_split(quote, chr(10))[1]), false) AS quoted FROM d LEFT JOIN p USING (session_id)",
+    "source_lookup": f"WITH {_E}, p AS (SELECT DISTINCT session_id, extractor_path FROM prepared_sessions) SELECT id, p.session_id, extractor_path FROM e JOIN p ON e.source.session_id = p.session_id",
+    "freshness": f"WITH {_STATE} SELECT session_key, sha AS file_sha256 FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.session_key = f.session_key AND s.sha = f.sha AND s.version = '0.1.0')",
+    "state_upsert": f"WITH {_STATE}, new AS (SELECT session_key, sha, '0.1.0' AS version FROM f WHERE n % 2 = 0) SELECT session_key, sha AS file_sha256, version FROM s WHERE session_key NOT IN (SELECT session_key FROM new) UNION ALL SELECT session_key, sha, version FROM new",
+    "append_decision": f"WITH {_STATE} SELECT f.session_key, CASE WHEN s.sha = f.sha THEN 'skip' WHEN f.n > s.n AND s.n = 100 AND s.sha = sha256(left(content, 100)) THEN 'incremental' ELSE 'full' END AS decision FROM f LEFT JOIN s USING (session_key)",
+    "entry_numbering": f"WITH {_E} SELECT id, 41 + row_number() OVER (ORDER BY source.extracted_at, id) AS number FROM e",
+    "path_order": "WITH p AS (SELECT DISTINCT path FROM prepared_sessions) SELECT path, row_number() OVER (ORDER BY string_split(path, '/'), path) AS number FROM p",
+    "msg_windows": f"WITH {_WINDOWS} SELECT session_id, start_turn, turn_no, role FROM win",
+    "window_prefilter": f"WITH {_STATS} SELECT session_id, start_turn, end_turn, n, chars FROM good",
+    "score_filter": f"WITH {_STATS} SELECT session_id, start_turn FROM st WHERE users >= 0.6 * n OR long_turns >= 0.6 * n",
+    "overlap_merge": f"""WITH {_RANGES}, m AS (SELECT *, max(end_turn) OVER (PARTITION BY session_id ORDER BY start_turn, end_turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+ i AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach - start_turn + 1 < 3 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY start_turn, end_turn) AS island FROM m) SELECT session_id, min(start_turn) AS start_turn, max(end_turn) AS end_turn, max(score) AS score FROM i GROUP BY session_id, island""",
+    "session_cap": f"WITH {_RANGES}, c AS (SELECT session_id, least(greatest(CAST(ceil(count(*) / 1000.0) AS INTEGER), 3), 10) AS most FROM turn GROUP BY 1), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, start_turn) AS INTEGER) AS place FROM r) SELECT session_id, start_turn, place FROM p JOIN c USING (session_id) WHERE place <= most",
+    "content_dedup": "SELECT sha256(text) AS hash, min(doc_id) AS first_key, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "same_titles": "SELECT title_key, count(*) AS n FROM (SELECT DISTINCT draft_id, lower(title) AS title_key FROM drafts) GROUP BY 1 HAVING count(*) > 1",
+    "label_distribution": f"WITH {_D} SELECT category AS label, count(*) AS n, CAST(count(*) * 10000 // (SELECT count(*) FROM d) AS BIGINT) AS share_bp FROM d GROUP BY 1",
+    "version_rescore": f"WITH {_D} SELECT draft_id, coalesce(seq_no, 0) % 3 AS version FROM d WHERE coalesce(seq_no, 0) % 3 = 1",
+    "activity": f"WITH {_L} SELECT strftime(date_trunc('hour', ingested_at AT TIME ZONE 'UTC'), '%Y-%m-%d %H:%M:%S') AS window_start, project_name, type, count(*) AS lines FROM l WHERE ingested_at IS NOT NULL GROUP BY 1, 2, 3",
+}

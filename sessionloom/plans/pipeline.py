@@ -1,0 +1,95 @@
+"""The public operations: plan, mine, validate, stats."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.config import EngineConfig
+from sessionloom.frames import stash
+from sessionloom.functions.text import scannable
+from sessionloom.operators import backends, entries, registry, state, transcript
+from sessionloom.sources import files
+
+EXTRACTOR_PROMPT = "Return a JSON array of drafts: title, category, tags, quote, why."
+TOKENISER_PROMPT = "Return a JSON object: title, category, tags, body, entities, needs_review, review_reason."
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plan(spark: SparkSession, path: str, config: EngineConfig) -> DataFrame:
+    """The work list: files whose content or configuration differs from the recorded state. Nothing is written."""
+    for backend in (config.extractor, config.tokeniser):
+        backend.check()
+    found = files.hashed(files.session_files(spark, path, content=True))
+    marks = {"extractor_prompt_sha256": _sha(EXTRACTOR_PROMPT), "tokeniser_prompt_sha256": _sha(TOKENISER_PROMPT), "extractor_backend_signature": config.extractor.signature, "tokeniser_backend_signature": config.tokeniser.signature, "version": config.version}
+    keyed = found.withColumnRenamed("path", "session_key").withColumns({k: F.lit(v) for k, v in marks.items()})
+    return state.stale(keyed, state.load(spark, config.state))
+
+
+@dataclass
+class MineResult:
+    entries: DataFrame
+    counters: dict[str, int]
+    paths: list[str]
+
+
+def mine(spark: SparkSession, path: str, config: EngineConfig) -> MineResult:
+    """Extract, tokenise, learn, scan, publish, record; one failing session or draft does not stop the run."""
+    work = stash(plan(spark, path, config).select("session_key", *state.FINGERPRINT, "size_bytes", F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime")))
+    content = files.session_files(spark, path, content=True).join(work.select(F.col("session_key").alias("path")), "path", "left_semi")
+    rows = files.lines(content)
+    kinds = files.sniff(rows)
+    events = transcript.transcripts(files.session_lines(rows)).join(kinds.where("dialect = 'event'").select("path", "session_id", "project_name"), "session_id")
+    plain = content.join(kinds.where("dialect = 'plain'"), "path").select("session_id", F.decode("content", F.lit("UTF-8")).alias("transcript"), "path", "project_name")
+    prepared = stash(events.select("session_id", "transcript", "path", "project_name").unionByName(plain))
+    extracted = stash(backends.extract(prepared.repartition(config.udf_partitions), config.extractor, EXTRACTOR_PROMPT))
+    drafts = extracted.where("ok").select("session_id", F.posexplode("drafts").alias("ix", "d")).select(F.concat_ws("/", "session_id", "ix").alias("draft_id"), "session_id", "ix", "d.*")
+    done = stash(backends.tokenise(drafts.repartition(config.udf_partitions), config.tokeniser, TOKENISER_PROMPT))
+    good = done.where("ok")
+    known = registry.merge(registry.load(spark, config.registry), registry.grow(registry.draft_literals(drafts, good)))
+    hits = registry.field_hits(good, known).groupBy("draft_id").agg(F.sum("hits").alias("hits"))
+    sources = prepared.select("session_id", "path", "project_name")
+    result = (
+        good.join(drafts.select("draft_id", "session_id", "ix"), "draft_id").join(sources, "session_id").join(hits, "draft_id", "left")
+        .select("draft_id", "session_id", "path", "ix", "title", "category", "tags", "body", "entities", F.col("project_name").alias("project"), (F.coalesce("needs_review", F.lit(False)) | F.col("hits").isNotNull()).alias("needs_manual_review"), F.coalesce("review_reason", F.when(F.col("hits").isNotNull(), F.concat(F.col("hits").cast("string"), F.lit(" registry hit(s)")))).alias("review_reason"))
+    )
+    result = stash(result)
+    names = spark.createDataFrame([(n,) for n in (os.listdir(config.entries) if os.path.isdir(config.entries) else [])], "name string")
+    number = entries.max_number(names)
+    now = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
+    paths: list[str] = []
+    by_session: dict[str, list[str]] = {}
+    for row in result.orderBy(F.split("path", "/"), "ix").toLocalIterator():  # files are written one by one: exclusive numbers
+        record = row.asDict() | {"id": entries.uuid7(), "source_type": "session", "message_range": None, "extracted_at": now}
+        made, number = entries.publish([record], config.entries, number)
+        paths += made
+        by_session.setdefault(row.path, []).extend(made)
+    finished = {r.session_id for r in extracted.where("ok").select("session_id").toLocalIterator()}
+    done_paths = {r.path for r in sources.toLocalIterator() if r.session_id in finished}
+    records = [(r.session_key, r.file_sha256, r.size_bytes, r.mtime, r.extractor_prompt_sha256, r.tokeniser_prompt_sha256, r.extractor_backend_signature, r.tokeniser_backend_signature, r.version, by_session.get(r.session_key, [])) for r in work.toLocalIterator() if r.session_key in done_paths]
+    state.save(state.upsert(state.load(spark, config.state), spark.createDataFrame(records, state.STATE)), config.state)
+    registry.save(known, config.registry)
+    total = files.session_files(spark, path).count()
+    return MineResult(result, {"extracted": len(done_paths), "skipped": total - work.count(), "failed": work.count() - len(done_paths)}, paths)
+
+
+def validate(spark: SparkSession, folder: str, known: DataFrame, delimiter_free: bool = True) -> DataFrame:
+    """(path, hit_count, leaked) of every published file against the registry."""
+    texts = files.markdown(spark, folder).select("path", scannable(F.col("raw")).alias("text"))
+    hits = registry.leaks(texts, ["path"], "text", known, delimiter_free).groupBy("path").agg(F.count("*").alias("hit_count"))
+    return texts.select("path").join(hits, "path", "left").select("path", F.coalesce("hit_count", F.lit(0)).alias("hit_count"), F.col("hit_count").isNotNull().alias("leaked"))
+
+
+def validate_counts(report: DataFrame) -> DataFrame:
+    return report.groupBy("leaked").agg(F.count("*").alias("n"))
+
+
+def stats(spark: SparkSession, path: str) -> DataFrame:
+    return files.stats(files.session_files(spark, path))

@@ -1,18 +1,317 @@
-"""The core's queries by name and their SQL."""
+"""The core's queries by name: each runs one operator over its whole tables. Their SQL is in oracles.py."""
 
 from __future__ import annotations
 
-from sessionloom.frames import table
-from sessionloom.operators import shred
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries():
+from sessionloom.frames import table, utrim
+from sessionloom.functions import parsing, text
+from sessionloom.operators import entries, mining, redact, registry, review, shred, state, transcript
+from sessionloom.plans import oracles
+from sessionloom.streaming import arrivals
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _on(fn: Callable[..., DataFrame], *names: str) -> Query:
+    return lambda spark, root: fn(*(table(spark, root, n) for n in names))
+
+
+def _drafts(df: DataFrame) -> DataFrame:
+    return df.dropDuplicates(["draft_id"])
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    return df.dropDuplicates(["session_id", "line_no"])
+
+
+# --- sources and scalars ------------------------------------------------------------------------------------------------
+def stats_bytes(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+def session_stats(lines: DataFrame) -> DataFrame:
+    return _lines(lines).groupBy("project_name").agg(F.count("*").alias("lines"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
+
+
+def dialect_sniff(lines: DataFrame) -> DataFrame:
+    """(session_id, is_event, project_name) from each session's first line."""
+    v = text.one_json(F.col("payload"))
+    first = _lines(lines).where("line_no = 1").select("session_id", "file_path", "type", v.alias("v"))
+    event = (F.col("type") == "session_meta") & transcript.is_event_session(text.text_at(F.col("v"), "$.originator"), text.text_at(F.col("v"), "$.source"))
+    project = F.when(event, text.event_project(text.text_at(F.col("v"), "$.git.repository_url"), text.text_at(F.col("v"), "$.cwd"))).otherwise(text.path_project(F.col("file_path")))
+    return first.select("session_id", F.coalesce(event, F.lit(False)).alias("is_event"), project.alias("project_name"), text.path_session(F.col("file_path")).alias("path_session"))
+
+
+def repo_names(lines: DataFrame) -> DataFrame:
+    url = F.get_json_object("payload", "$.git.repository_url")
+    return _lines(lines).where("type = 'session_meta'").select("session_id", "line_no", text.repo_name(url).alias("repo"))
+
+
+def slug_filename(drafts: DataFrame) -> DataFrame:
+    return _drafts(drafts).select("draft_id", text.file_name(F.coalesce("seq_no", F.lit(0)), F.coalesce("title", F.lit(""))).alias("file_name"))
+
+
+def block_format(drafts: DataFrame) -> DataFrame:
+    return _drafts(drafts).where("quote is not null").select("draft_id", text.block(F.lit("HUMAN"), F.col("quote")).alias("block"))
+
+
+def utc_format(drafts: DataFrame) -> DataFrame:
+    return _drafts(drafts).select("draft_id", text.utc(F.col("extracted_at")).alias("extracted"))
+
+
+def ansi_strip(documents: DataFrame) -> DataFrame:
+    return documents.where("text is not null").select("doc_id", F.sha2(text.strip_ansi(F.col("text")), 256).alias("hash"))
+
+
+def failure_class(lines: DataFrame) -> DataFrame:
+    """Messages of every class, raw, upper-cased or coloured, made from the line number."""
+    words = F.array(*(F.lit(w) for _, group in text.FAILURES for w in group), F.lit("all is well"))
+    raw = F.element_at(words, (F.col("line_no") % 14 + 1).cast("int"))
+    message = F.when(F.col("line_no") % 3 == 0, F.upper(raw)).when(F.col("line_no") % 3 == 1, F.concat(F.lit("\x1b[31m"), raw, F.lit("\x1b[0m"))).otherwise(raw)
+    return _lines(lines).select("session_id", "line_no", F.coalesce(text.failure_class(message), F.lit("none")).alias("class"))
+
+
+def zip_tags(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
+    both = _drafts(drafts).select("draft_id", F.col("tags").alias("x")).join(_drafts(tokenised).select("draft_id", F.col("tags").alias("y")), "draft_id")
+    return both.select("draft_id", F.array_join(F.transform(text.zipped(F.col("x"), F.col("y")), lambda p: F.concat(p["a"], F.lit("="), p["b"])), "|").alias("pairs"))
+
+
+def explode_tags(drafts: DataFrame) -> DataFrame:
+    return _drafts(drafts).select("draft_id", F.posexplode("tags").alias("ix", "tag"))
+
+
+def scannable_content(published: DataFrame) -> DataFrame:
+    return _markdown(published).select("id", text.scannable(F.col("raw")).alias("shown"))
+
+
+def _markdown(published: DataFrame) -> DataFrame:
+    raw = F.concat(F.lit("---\ntitle: "), "title", F.lit("\nproject: x\ncategory: "), "category", F.lit("\ntags:\n"), F.array_join(F.transform("tags", lambda t: F.concat(F.lit("- "), t, F.lit("\n"))), ""), F.lit("---\n\n"), F.coalesce("body", F.lit("")), F.lit("\n"))
+    return published.dropDuplicates(["id"]).select("id", raw.alias("raw"))
+
+
+# --- transcripts --------------------------------------------------------------------------------------------------------
+def event_rows(lines: DataFrame) -> DataFrame:
+    return transcript.events(lines).select("session_id", "line_no", "kind", "role", "call_id", "name", F.sha2("text", 256).alias("hash"))
+
+
+def call_names(lines: DataFrame) -> DataFrame:
+    rows = transcript.with_call_names(transcript.events(lines))
+    return rows.where(F.col("kind").isin(*transcript.RESULTS)).select("session_id", "line_no", "call_id", "call_name")
+
+
+def role_classes(lines: DataFrame) -> DataFrame:
+    content = F.try_variant_get(text.one_json(F.col("payload")), "$.content", "variant")
+    return _lines(lines).where("type in ('user', 'assistant')").select("session_id", "line_no", mining.role_of(F.col("type"), content).alias("role"))
+
+
+# --- registry and review ------------------------------------------------------------------------------------------------
+def masked_literals(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
+    return registry.draft_literals(drafts, tokenised).groupBy("draft_id", "literal").agg(F.count("*").alias("n"))
+
+
+def registry_build(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
+    return registry.grow(registry.draft_literals(drafts, tokenised))
+
+
+def leak_scan(drafts: DataFrame, tokenised: DataFrame, published: DataFrame) -> DataFrame:
+    known = registry.grow(registry.draft_literals(drafts, tokenised))
+    return registry.leaks(published.select("id", "body").distinct(), ["id"], "body", known)
+
+
+def leak_hits(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
+    return registry.field_hits(tokenised, registry.grow(registry.draft_literals(drafts, tokenised)))
+
+
+def sequential_leaks(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
+    order = _drafts(drafts).select("draft_id", F.unix_micros("extracted_at").alias("seq"))
+    learnt = registry.draft_literals(drafts, tokenised).join(order, "draft_id").select("seq", "literal")
+    bodies = _drafts(tokenised).join(order, "draft_id").select("draft_id", "seq", "body")
+    return registry.sequential_hits(drafts, learnt, bodies)
+
+
+def validate_counts(drafts: DataFrame, tokenised: DataFrame, published: DataFrame) -> DataFrame:
+    known = registry.grow(registry.draft_literals(drafts, tokenised))
+    texts = _markdown(published).select("id", text.scannable(F.col("raw")).alias("shown"))
+    hits = registry.leaks(texts, ["id"], "shown", known).select("id").distinct().withColumn("leaked", F.lit(True))
+    return texts.select("id").join(hits, "id", "left").groupBy(F.coalesce("leaked", F.lit(False)).alias("leaked")).agg(F.count("*").alias("n"))
+
+
+def redact_values(drafts: DataFrame) -> DataFrame:
+    return _drafts(drafts).where("quote is not null").select("draft_id", F.inline(redact.found(F.col("quote"))).alias("type", "value")).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"))
+
+
+def redact_default(drafts: DataFrame) -> DataFrame:
+    return redact.redact(_drafts(drafts).where("quote is not null").select("draft_id", "quote"), "quote").select("draft_id", "redacted", F.to_json("entities").alias("entities"))
+
+
+def draft_contract(drafts: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The drafts' contract as predicates: title length, tag count, first quoted line in the session's transcript."""
+    one = prepared.select("session_id", "transcript").dropDuplicates(["session_id"])
+    joined = _drafts(drafts).join(one, "session_id", "left")
+    return joined.select("draft_id", (F.length("title") <= 80).alias("title_ok"), F.size("tags").between(2, 5).alias("tags_ok"), F.coalesce(F.contains("transcript", F.substring_index("quote", "\n", 1)), F.lit(False)).alias("quoted"))
+
+
+def source_lookup(published: DataFrame, prepared: DataFrame) -> DataFrame:
+    one = published.dropDuplicates(["id"]).select("id", F.col("source.session_id").alias("session_id"))
+    return one.join(prepared.select("session_id", "extractor_path").distinct(), "session_id").select("id", "session_id", "extractor_path")
+
+
+# --- state ----------------------------------------------------------------------------------------------------------------
+def _files(prepared: DataFrame) -> DataFrame:
+    one = prepared.dropDuplicates(["session_id"]).where("transcript is not null")
+    return one.select(F.col("path").alias("session_key"), F.col("transcript").alias("content"), F.sha2("transcript", 256).alias("file_sha256"), F.octet_length("transcript").cast("long").alias("size_bytes"), F.lit("e1").alias("extractor_prompt_sha256"), F.lit("t1").alias("tokeniser_prompt_sha256"), F.lit("").alias("extractor_backend_signature"), F.lit("b/m").alias("tokeniser_backend_signature"), F.lit("0.1.0").alias("version"))
+
+
+def _state(prepared: DataFrame) -> DataFrame:
+    """A state of every file: some of other content, some of another version, some never seen."""
+    n = F.col("size_bytes")
+    files = _files(prepared).where(n % 7 != 0)
+    sha = F.when(n % 5 == 0, F.lit("other")).when(n % 3 == 0, F.sha2(F.substring(F.encode("content", "UTF-8"), 1, 100), 256)).otherwise(F.col("file_sha256"))
+    return files.withColumns({"file_sha256": sha, "size_bytes": F.when((n % 3 == 0) & (n % 5 != 0), F.lit(100)).otherwise(n), "version": F.when(n % 11 == 0, "0.0.9").otherwise("0.1.0"), "extractor_backend_signature": F.lit(None).cast("string")})
+
+
+def freshness(prepared: DataFrame) -> DataFrame:
+    return state.stale(_files(prepared), _state(prepared)).select("session_key", "file_sha256")
+
+
+def state_upsert(prepared: DataFrame) -> DataFrame:
+    keys = ["session_key", "file_sha256", "version"]
+    new = _files(prepared).where("size_bytes % 2 = 0").select(*keys)
+    return state.upsert(_state(prepared).select(*keys), new)
+
+
+def append_decision(prepared: DataFrame) -> DataFrame:
+    return state.append_decision(_files(prepared), _state(prepared))
+
+
+# --- entries ------------------------------------------------------------------------------------------------------------
+def entry_numbering(published: DataFrame) -> DataFrame:
+    one = published.dropDuplicates(["id"]).select("id", F.col("source.extracted_at").alias("at"))
+    return entries.numbered(one, ["at", "id"], start=41).select("id", "number")
+
+
+def path_order(prepared: DataFrame) -> DataFrame:
+    one = prepared.select("path").distinct().withColumn("parts", F.split("path", "/"))
+    return entries.numbered(one, ["parts", "path"]).select("path", "number")
+
+
+def front_matter(published: DataFrame) -> DataFrame:
+    return entries.front_matter(published.dropDuplicates(["id"]))
+
+
+def json_candidates(drafts: DataFrame) -> DataFrame:
+    """Drafts written as noisy model output and read back."""
+    one = _drafts(drafts).where("quote is not null and why is not null and title is not null and category is not null")
+    noisy = F.concat(F.lit("Sure [1], see:\n```json\n"), F.to_json(F.array(F.struct("title", "category", "tags", "quote", "why"))), F.lit("\n``` done [2]"))
+    return parsing.parse_drafts(one.select("draft_id", noisy.alias("output")), "output", ["draft_id"]).select("draft_id", "ok", F.size("drafts").alias("n"), F.col("drafts")[0]["title"].alias("title"))
+
+
+# --- mining ---------------------------------------------------------------------------------------------------------------
+def _turns(lines: DataFrame) -> DataFrame:
+    """Spoken messages of the event dialect as numbered turns."""
+    rows = transcript.events(lines).where("kind = 'message' and role in ('user', 'assistant')").where(utrim(F.col("text")) != "")
+    return rows.select("session_id", (F.row_number().over(Window.partitionBy("session_id").orderBy("line_no")) - 1).cast("long").alias("turn_no"), "role", "text")
+
+
+def _scored(lines: DataFrame) -> DataFrame:
+    return mining.prefilter(mining.window_stats(_turns(lines))).select("session_id", "start_turn", "end_turn", (F.col("chars") % 100).alias("score"))
+
+
+def msg_windows(lines: DataFrame) -> DataFrame:
+    return mining.windows(_turns(lines)).select("session_id", "start_turn", "turn_no", "role")
+
+
+def window_prefilter(lines: DataFrame) -> DataFrame:
+    return mining.prefilter(mining.window_stats(_turns(lines))).select("session_id", "start_turn", "end_turn", "n", "chars")
+
+
+def score_filter(lines: DataFrame) -> DataFrame:
+    stats = mining.window_stats(_turns(lines)).withColumns({"a": F.col("users") / F.col("n"), "b": F.col("long_turns") / F.col("n")})
+    return mining.any_score(stats, ["a", "b"], 0.6).select("session_id", "start_turn")
+
+
+def overlap_merge(lines: DataFrame) -> DataFrame:
+    return mining.merge_overlaps(_scored(lines))
+
+
+def overlap_greedy(lines: DataFrame) -> DataFrame:
+    return mining.greedy_overlaps(_scored(lines))
+
+
+def session_cap(lines: DataFrame) -> DataFrame:
+    return mining.capped(_scored(lines), _turns(lines)).select("session_id", "start_turn", "place")
+
+
+def version_rescore(drafts: DataFrame) -> DataFrame:
+    """Versions that need another scoring, by a small lookup table."""
+    versions = drafts.sparkSession.createDataFrame([(0, False), (1, True), (2, False)], "version int, rescore boolean")
+    return _drafts(drafts).select("draft_id", (F.coalesce("seq_no", F.lit(0)) % 3).alias("version")).join(F.broadcast(versions), "version").where("rescore").select("draft_id", "version")
+
+
+def activity(lines: DataFrame) -> DataFrame:
+    return arrivals.activity(_lines(lines)).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "project_name", "type", "lines")
+
+
+def queries() -> dict[str, Query]:
+    lines, drafts, tokenised, published, prepared, documents = "session_lines", "drafts", "tokenised_entries", "entries", "prepared_sessions", "documents"
     return {
-        "p3_found": lambda s, d: shred.object_elements(table(s, d, "session_lines")),
-        "p3_levels": lambda s, d: shred.level_columns(table(s, d, "session_lines")),
-        "p3_tables": lambda s, d: shred.flat_tables(table(s, d, "session_lines")),
+        "leak_review": _on(review.leak_review, drafts, tokenised),
+        "stats_bytes": _on(stats_bytes, documents),
+        "session_stats": _on(session_stats, lines),
+        "line_counters": _on(review.counters, lines),
+        "dialect_sniff": _on(dialect_sniff, lines),
+        "repo_names": _on(repo_names, lines),
+        "slug_filename": _on(slug_filename, drafts),
+        "block_format": _on(block_format, drafts),
+        "utc_format": _on(utc_format, drafts),
+        "ansi_strip": _on(ansi_strip, documents),
+        "failure_class": _on(failure_class, lines),
+        "zip_tags": _on(zip_tags, drafts, tokenised),
+        "explode_tags": _on(explode_tags, drafts),
+        "scannable_content": _on(scannable_content, published),
+        "event_rows": _on(event_rows, lines),
+        "call_names": _on(call_names, lines),
+        "transcripts": _on(transcript.transcripts, lines),
+        "role_classes": _on(role_classes, lines),
+        "masked_literals": _on(masked_literals, drafts, tokenised),
+        "registry_build": _on(registry_build, drafts, tokenised),
+        "leak_scan": _on(leak_scan, drafts, tokenised, published),
+        "leak_hits": _on(leak_hits, drafts, tokenised),
+        "sequential_leaks": _on(sequential_leaks, drafts, tokenised),
+        "validate_counts": _on(validate_counts, drafts, tokenised, published),
+        "redact_values": _on(redact_values, drafts),
+        "redact_default": _on(redact_default, drafts),
+        "placeholder_integrity": _on(redact.integrity, tokenised),
+        "entity_edges": _on(redact.entity_edges, tokenised),
+        "draft_contract": _on(draft_contract, drafts, prepared),
+        "source_lookup": _on(source_lookup, published, prepared),
+        "freshness": _on(freshness, prepared),
+        "state_upsert": _on(state_upsert, prepared),
+        "append_decision": _on(append_decision, prepared),
+        "entry_numbering": _on(entry_numbering, published),
+        "path_order": _on(path_order, prepared),
+        "front_matter": _on(front_matter, published),
+        "json_candidates": _on(json_candidates, drafts),
+        "msg_windows": _on(msg_windows, lines),
+        "window_prefilter": _on(window_prefilter, lines),
+        "score_filter": _on(score_filter, lines),
+        "overlap_merge": _on(overlap_merge, lines),
+        "overlap_greedy": _on(overlap_greedy, lines),
+        "session_cap": _on(session_cap, lines),
+        "content_dedup": _on(lambda d: mining.content_dedup(d, "doc_id", "text"), documents),
+        "same_titles": _on(lambda d: mining.same_titles(d, "draft_id"), drafts),
+        "label_distribution": _on(lambda d: mining.distribution(_drafts(d), "category"), drafts),
+        "version_rescore": _on(version_rescore, drafts),
+        "activity": _on(activity, lines),
+        "p3_found": _on(shred.object_elements, lines),
+        "p3_levels": _on(shred.level_columns, lines),
+        "p3_tables": _on(shred.flat_tables, lines),
     }
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return oracles.SQL

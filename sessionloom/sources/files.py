@@ -7,6 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.functions.text import event_project, one_json, path_project, path_session, text_at
+from sessionloom.operators.transcript import is_event_session
+
 
 def _paths(df: DataFrame) -> DataFrame:
     """Order by path components, not by the raw string."""
@@ -55,10 +58,7 @@ def lines(files: DataFrame) -> DataFrame:
 
 def sniff(file_lines: DataFrame) -> DataFrame:
     """(path, dialect, session_id, project_name) from each file's first line; dialect is null if it is no JSON."""
-    from sessionloom.functions.text import event_project, path_project, path_session, text_at
-    from sessionloom.operators.transcript import is_event_session
-
-    v = F.try_parse_json("line")
+    v = one_json(F.col("line"))
     first = file_lines.where("line_no = 1").select("path", "line", v.alias("v"))
     meta = (text_at(F.col("v"), "$.type") == "session_meta") & is_event_session(text_at(F.col("v"), "$.payload.originator"), text_at(F.col("v"), "$.payload.source"))
     event = F.coalesce(meta, F.lit(False))
@@ -73,5 +73,5 @@ def sniff(file_lines: DataFrame) -> DataFrame:
 
 def session_lines(file_lines: DataFrame) -> DataFrame:
     """Lines of event-dialect files as (session_id, line_no, type, payload); bad lines are skipped."""
-    v = F.try_parse_json("line")
+    v = one_json(F.col("line"))
     return file_lines.join(sniff(file_lines).where("dialect = 'event'").select("path", "session_id"), "path").select("session_id", "line_no", F.get_json_object("line", "$.type").alias("type"), F.get_json_object("line", "$.payload").alias("payload"), v.alias("v")).where("v is not null").drop("v")
