@@ -37,5 +37,35 @@ def queries() -> dict[str, Query]:
     }
 
 
+_L = "l AS (SELECT DISTINCT session_id, line_no, type, payload FROM session_lines WHERE session_id IS NOT NULL)"
+_P1 = f"""WITH {_L},
+s AS (SELECT session_id, line_no, type, CASE WHEN json_valid(payload) THEN payload END AS payload FROM l),
+r AS (SELECT *, lower(trim(CASE WHEN json_type(payload, '$.role') = 'VARCHAR' THEN json_extract_string(payload, '$.role') END, ' ' || chr(9) || chr(10) || chr(13))) AS role FROM s),
+v AS (SELECT *, (type IN ('user', 'assistant') OR (type = 'response_item' AND json_extract_string(payload, '$.type') = 'message')) AND role IN ('user', 'assistant') AND (
+ (json_type(payload, '$.content') = 'VARCHAR' AND regexp_matches(json_extract_string(payload, '$.content'), '[^\\s]'))
+ OR len(list_filter(CASE WHEN json_type(payload, '$.content') = 'ARRAY' THEN CAST(json_extract(payload, '$.content') AS JSON[]) END, lambda x: json_type(x) = 'OBJECT' AND json_type(x, '$.text') = 'VARCHAR' AND regexp_matches(json_extract_string(x, '$.text'), '[^\\s]'))) > 0) AS speaks FROM r)
+SELECT session_id FROM v GROUP BY 1 HAVING NOT coalesce(count(DISTINCT line_no) FILTER (line_no >= 1) = max(line_no) AND bool_and(payload IS NOT NULL) AND bool_or(coalesce(speaks, false))
+ AND arg_min(role, line_no) FILTER (speaks) = 'user' AND arg_max(role, line_no) FILTER (speaks) = 'assistant', false)"""
+_P5 = f"""WITH {_L}, j AS (SELECT session_id, line_no, payload FROM l WHERE strlen(payload) > 4000 AND json_valid(payload)),
+p AS (SELECT session_id, line_no, 0 AS part, json_extract_string(payload, '$.content') AS txt FROM j WHERE json_type(payload, '$.content') = 'VARCHAR'
+ UNION ALL SELECT session_id, line_no, i, json_extract_string(c[i + 1], '$.text') FROM (SELECT session_id, line_no, c, unnest(range(len(c))) AS i FROM (SELECT session_id, line_no, CAST(json_extract(payload, '$.content') AS JSON[]) AS c FROM j WHERE json_type(payload, '$.content') = 'ARRAY')) WHERE json_type(c[i + 1]) = 'OBJECT' AND json_type(c[i + 1], '$.text') = 'VARCHAR')
+SELECT DISTINCT 'content' AS item_kind, session_id || '/' || line_no || '/' || part AS item_key FROM p WHERE strlen(txt) > 4000
+UNION ALL SELECT DISTINCT 'transcript', extractor_path FROM prepared_sessions WHERE strlen(transcript) > 16000"""
+
+
+def _grams(name: str, keys: str, size: int, text: str, of: str) -> str:
+    """All runs of `size` words, joined by blanks."""
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"{name} AS (SELECT {keys}, unnest(list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i : i + {size - 1}], ' '))) AS g FROM (SELECT {keys}, {words} AS w FROM {of}) WHERE len(w) >= {size})"
+
+
+_P8 = f"WITH {_grams('i', 'item_id', 13, 'text', 'eval_items')}, {_grams('d', 'doc_id', 13, 'text', 'documents')} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"
+_P6 = """WITH x AS (SELECT DISTINCT 'drafts' AS src, draft_id AS key, quote AS txt FROM drafts UNION ALL SELECT DISTINCT 'entries', id, body FROM entries),
+""" + _grams("n", "src, key", 3, "txt", "x") + """, g AS (SELECT DISTINCT src, key, g FROM n), c AS (SELECT src, key, count(*) AS n FROM g GROUP BY 1, 2),
+m AS (SELECT a.src, a.key AS key_a, b.key AS key_b, count(*) AS k FROM g a JOIN g b ON a.src = b.src AND a.g = b.g AND a.key < b.key GROUP BY 1, 2, 3)
+SELECT m.src, key_a, key_b FROM m JOIN c p ON p.src = m.src AND p.key = key_a JOIN c q ON q.src = m.src AND q.key = key_b WHERE 10 * k >= 6 * (p.n + q.n - k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The exact results, by brute force in SQL; the other operators are tested in tests/llm."""
+    return {"p1_found": _P1, "p5_found": _P5, "p6_found": _P6, "p8_found": _P8}
