@@ -70,6 +70,11 @@ _WORDS = [(name, w) for name, words in FAILURES for w in words]
 _CLASS = "CASE line_no % 14 " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(_WORDS)) + " ELSE 'none' END"
 
 SQL = {
+    "p3_found": f"""WITH RECURSIVE {_L}, ok AS (SELECT session_id, line_no, CAST(payload AS JSON) AS v FROM l WHERE CASE WHEN json_valid(payload) THEN json_type(payload) IN ('OBJECT', 'ARRAY') ELSE false END),
+ node AS (SELECT session_id, line_no, '' AS p, v, false AS item FROM ok
+  UNION ALL SELECT session_id, line_no, p || CASE WHEN is_list THEN '[' || (i - 1) || ']' WHEN p = '' THEN k[i] ELSE '.' || k[i] END, CASE WHEN is_list THEN json_extract(v, '$[' || (i - 1) || ']') ELSE json_extract(v, '$."' || k[i] || '"') END, is_list
+  FROM (SELECT session_id, line_no, p, v, is_list, k, unnest(range(1, CAST(n AS BIGINT) + 1)) AS i FROM (SELECT session_id, line_no, p, v, json_type(v) = 'ARRAY' AS is_list, CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) END AS k, CASE WHEN json_type(v) = 'ARRAY' THEN json_array_length(v) WHEN json_type(v) = 'OBJECT' THEN len(json_keys(v)) ELSE 0 END AS n FROM node)))
+ SELECT session_id, line_no, p AS node_path FROM node WHERE item AND json_type(v) = 'OBJECT'""",
     "stats_bytes": "SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents",
     "session_stats": f"WITH {_L} SELECT project_name, count(*) AS lines, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM l GROUP BY 1",
     "line_counters": f"WITH {_L} SELECT type, count(*) AS lines, count(*) FILTER (event_ts IS NULL) AS undated, count(DISTINCT session_id) AS sessions FROM l GROUP BY 1",
