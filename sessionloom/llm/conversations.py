@@ -59,7 +59,7 @@ def symbols(lines: DataFrame, with_text: bool = False) -> DataFrame:
         more = {"text": pa.array([t and t.encode("utf-8", "replace").decode() for t in texts], pa.string())} if with_text else {}
         return {"session_id": batch["session_id"], "line_no": batch["line_no"], "symbol": pa.array(out, pa.string())} | more
 
-    source = spread(lines.select("session_id", "line_no", "type", "payload").where(F.col("session_id").isNotNull()))
+    source = spread(lines.select("session_id", F.col("line_no").cast("int").alias("line_no"), "type", "payload").where(F.col("session_id").isNotNull()))
     return by_batch(source, run, "session_id string, line_no int, symbol string" + ", text string" * with_text)
 
 

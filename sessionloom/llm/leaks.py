@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.frames import by_batch, spread
 
-WINDOW, BANDS, SAMPLES, SEED = 13, 12, 6, 20_240_501
+WINDOW, BANDS, SAMPLES, SEED = 13, 24, 4, 20_240_501
 BLOCK_BYTES = 32_000_000
 _WORD = re.compile(r"[^\W_]+")  # letters and digits
 

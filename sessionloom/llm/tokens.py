@@ -150,7 +150,7 @@ def encode(documents: DataFrame, folder: str = FOLDER, name: str = "byte_bpe_50k
             parts = level + parts[len(parts) - len(parts) % 2 :]
         return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([[t for _, ids in parts[0][1] for t in ids]], _IDS)})
 
-    source = spread(documents.select("doc_id", "text"))
+    source = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     is_long = F.coalesce(F.length("text") > leaf, F.lit(False))
     short = by_batch(source.where(~is_long), whole, "doc_id long, ids array<int>")
     pieces = by_batch(source.where(is_long).dropDuplicates(["doc_id"]), leaves, "doc_id long, at long, text string")
