@@ -194,7 +194,7 @@ def _per_line(lines: DataFrame, fn, columns: str) -> DataFrame:
         at = pa.array(take, pa.int64())
         return {"session_id": batch["session_id"].take(at), "line_no": batch["line_no"].take(at)} | {c: pa.array(v, pa.int32() if c.endswith("_level") else pa.string()) for c, v in zip(names, out)}
 
-    source = spread(lines.select("session_id", "line_no", "payload").where(F.col("session_id").isNotNull() & F.col("line_no").isNotNull()))
+    source = spread(lines.select("session_id", F.col("line_no").cast("int").alias("line_no"), "payload").where(F.col("session_id").isNotNull() & F.col("line_no").isNotNull()))
     return by_batch(source, run, "session_id string, line_no int, " + columns)
 
 

@@ -47,7 +47,7 @@ def mine(spark: SparkSession, path: str, config: EngineConfig) -> MineResult:
     rows = files.lines(content)
     kinds = files.sniff(rows)
     events = transcript.transcripts(files.session_lines(rows)).join(kinds.where("dialect = 'event'").select("path", "session_id", "project_name"), "session_id")
-    plain = content.join(kinds.where("dialect = 'plain'"), "path").select("session_id", F.decode("content", F.lit("UTF-8")).alias("transcript"), "path", "project_name")
+    plain = content.join(kinds.where("dialect = 'plain'"), "path").select("session_id", F.decode("content", "UTF-8").alias("transcript"), "path", "project_name")
     prepared = stash(events.select("session_id", "transcript", "path", "project_name").unionByName(plain))
     extracted = stash(backends.extract(prepared.repartition(config.udf_partitions), config.extractor, EXTRACTOR_PROMPT))
     drafts = extracted.where("ok").select("session_id", F.posexplode("drafts").alias("ix", "d")).select(F.concat_ws("/", "session_id", "ix").alias("draft_id"), "session_id", "ix", "d.*")

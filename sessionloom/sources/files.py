@@ -51,7 +51,7 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines(files: DataFrame) -> DataFrame:
     """Files with content -> (path, line_no, line); carriage returns before line breaks and a last empty line go."""
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     split = F.split(F.regexp_replace(text, r"\r?\n\z", ""), "\r?\n")
     return files.select("path", F.posexplode(split).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
 

@@ -1,0 +1,96 @@
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from sessionloom.config import EngineConfig
+from sessionloom.operators import backends, registry
+from sessionloom.plans import pipeline
+from sessionloom.sources import files
+from sessionloom.streaming import arrivals
+
+META = {"type": "session_meta", "payload": {"id": "s-1", "originator": "codex-tui", "source": "cli", "cwd": "/w/x", "git": {"repository_url": "git@h.test:t/repo.git"}}}
+
+
+def item(**payload):
+    return {"type": "response_item", "payload": payload}
+
+
+@pytest.fixture
+def logs(tmp_path):
+    def write(name, rows, end="\n"):
+        path = tmp_path / "logs" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(end.join(r if isinstance(r, str) else json.dumps(r) for r in rows) + end)
+
+    write("e/one.jsonl", [META, item(type="message", role="user", content=[{"type": "input_text", "text": "mail me at someone.private@host.test"}]), "{bad", item(type="function_call", name="bash", call_id="c", arguments=" "), item(type="function_call_output", call_id="c", output="done\nwell"), item(type="custom_tool_call_output", call_id="zz", output='{"output": " in ", "n": 1}'), item(type="reasoning", summary=["first", {"text": "second"}, 3]), item(type="message", role="developer", content=[]), item(type="function_call_output", call_id="c", output=5)], "\r\n")
+    write("p/-home-my-tool/two.jsonl", [{"type": "summary"}, {"type": "user"}])
+    write("p/subagents/three.jsonl", [{"type": "user"}])
+    write("bad.jsonl", ["no json", {"type": "user"}])
+    (tmp_path / "logs" / "x.txt").write_text("no")
+    return str(tmp_path / "logs")
+
+
+def config(root, answer=None):
+    draft = [{"title": "A title", "category": "c", "tags": ["tag"], "quote": "mail someone.private@host.test", "why": "w"}]
+
+    def extract(prompt):
+        if "my-tool" in prompt or '"summary"' in prompt:
+            return "[]"
+        return "noise " + json.dumps(draft)
+
+    def tokenise(prompt):
+        d = json.loads(prompt[prompt.index("\n") :])
+        return json.dumps({"title": d["title"], "category": d["category"], "tags": d["tags"], "body": d["quote"].replace("someone.private@host.test", "#EMAIL_001#"), "entities": {"#EMAIL_001#": {"type": "EMAIL"}}})
+
+    return EngineConfig(root, backends.Offline("off/x", answer or extract), backends.Offline("off/t", tokenise))
+
+
+def test_sources(spark, logs):
+    found = files.session_files(spark, logs)
+    assert [os.path.basename(r.path) for r in found.collect()] == ["bad.jsonl", "one.jsonl", "two.jsonl"]
+    assert files.session_files(spark, f"{logs}/x.txt").count() == 1
+    with pytest.raises(FileNotFoundError):
+        files.session_files(spark, f"{logs}/none")
+    kinds = {os.path.basename(r.path): r for r in files.sniff(files.lines(files.session_files(spark, logs, True))).collect()}
+    assert kinds["bad.jsonl"].dialect is None and kinds["one.jsonl"].session_id == "s-1" and kinds["one.jsonl"].project_name == "repo" and kinds["two.jsonl"].project_name == "my-tool"
+    assert pipeline.stats(spark, logs).first().files == 3 and files.markdown(spark, f"{logs}/none").count() == 0
+
+
+def test_mine_is_incremental_and_validates(spark, logs, tmp_path):
+    cfg = config(str(tmp_path / "out"))
+    assert pipeline.plan(spark, logs, cfg).count() == 3
+    result = pipeline.mine(spark, logs, cfg)
+    assert result.counters == {"extracted": 2, "skipped": 0, "failed": 1} and [os.path.basename(p) for p in result.paths] == ["001-a-title.md"]
+    text = open(result.paths[0]).read()
+    assert "#EMAIL_001#" in text and "someone.private" not in text and "project: repo" in text
+    assert pipeline.plan(spark, logs, cfg).count() == 1  # only the file that failed
+    known = registry.load(spark, cfg.registry)
+    assert pipeline.validate(spark, cfg.entries, known).first().leaked is False
+    with open(os.path.join(cfg.entries, "002-x.md"), "w") as f:
+        f.write("---\ntitle: x\nproject: someone.private@host.test\n---\n\nfine\n")
+    assert not any(r.leaked for r in pipeline.validate(spark, cfg.entries, known).collect())  # the project is not scanned
+    with open(os.path.join(cfg.entries, "003-x.md"), "w") as f:
+        f.write("---\ntitle: someone.private@host.test\n---\n\nfine\n")
+    assert {(r.leaked, r.n) for r in pipeline.validate_counts(pipeline.validate(spark, cfg.entries, known)).collect()} == {(False, 2), (True, 1)}
+
+
+def test_failures_stay_apart_and_safe(spark):
+    def answer(prompt):
+        raise RuntimeError("rate limit for token secret-abc")
+
+    rows = backends.extract(spark.createDataFrame([("a", "text"), ("b", " "), ("c", None)], "session_id string, transcript string"), backends.Offline("x", answer), "p").collect()
+    assert [r.ok for r in rows] == [False] * 3 and {r.error for r in rows} == {"RuntimeError: quota", "blank transcript"}
+    assert "secret" not in backends.safe_error("p", 1, "secret", "") and backends.safe_error("p", 1, "", "api key invalid").endswith("api_key")
+
+
+def test_stream_counts_redelivered_lines_once(spark, tmp_path):
+    schema = "session_id string, line_no int, project_name string, type string, ingested_at timestamp"
+    rows = spark.sql("select 's' session_id, cast(id % 5 as int) line_no, 'p' project_name, 'user' type, timestamp'2026-01-01 10:00:00' + make_interval(0,0,0,0,0,id) ingested_at from range(20)")
+    rows.write.parquet(str(tmp_path / "in"))
+    seen = []
+    query = arrivals.run(arrivals.deduplicated(arrivals.stream(spark, str(tmp_path / "in"), schema)), lambda df, n: seen.append(df.count()), str(tmp_path / "ck"))
+    query.awaitTermination(60)
+    assert sum(seen) == 5
+    assert arrivals.activity(rows).agg(F.sum("lines")).first()[0] == 20
