@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.frames import stash
 from sessionloom.operators.state import atomic_write_exclusive
 
 #: The front matter's fields in their order (fixed values: the order is the contract).
@@ -22,7 +23,7 @@ RETRIES = 1024
 def max_number(names: DataFrame) -> int:
     """The largest N of names N-*.md, 0 if there is none."""
     name = F.col("name")
-    number = F.try_cast(F.substring_index(name, "-", 1), "int") if hasattr(F, "try_cast") else F.expr("try_cast(substring_index(name, '-', 1) as int)")
+    number = F.substring_index(name, "-", 1).try_cast("int")
     return names.where(name.endswith(".md") & (F.instr(name, "-") > 0)).agg(F.coalesce(F.max(number), F.lit(0)).alias("n")).first()["n"]
 
 
@@ -32,9 +33,10 @@ def numbered(entries: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     A global row_number would gather every row in one task. Rows are range-partitioned by the order instead, numbered
     inside each partition, and offset by the counts of the partitions before (one small row a partition).
     """
-    spread = entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inner = spread.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
+    ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # written once: the ranges are sampled, so a second evaluation could draw them elsewhere
+    inner = stash(ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
+    counts = inner.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
     return inner.join(before, "_part").withColumn("number", F.col("_at") + F.coalesce("_before", F.lit(0)) + F.lit(start)).drop("_part", "_at", "_before")
 
