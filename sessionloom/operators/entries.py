@@ -65,7 +65,7 @@ def _yaml(value) -> str:
     if isinstance(value, int):
         return str(value)
     if isinstance(value, str):
-        return value if re.fullmatch(r"[A-Za-z][\w ./-]*[\w.]", value) and value.lower() not in ("true", "false", "null", "yes", "no") else json.dumps(value, ensure_ascii=False)
+        return value if re.fullmatch(r"[A-Za-z](?:[\w ./-]*[\w.])?", value) and value.lower() not in ("true", "false", "null", "yes", "no", "on", "off", "y", "n") else json.dumps(value, ensure_ascii=False)
     return json.dumps(value, ensure_ascii=False)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.text import MIN_LITERAL_BYTES, masked_literals, runs, zipped
 from sessionloom.operators.state import atomic_write
 
-WIDEST = 256
+WIDEST, CHUNK = 256, 4096
 
 
 def draft_literals(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
@@ -37,6 +37,12 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).distinct()
 
 
+def categories(tokenised: DataFrame) -> DataFrame:
+    """The types of all placeholders in use, as the registry's category labels."""
+    marks = F.regexp_extract_all("body", F.lit(r"#([A-Z][A-Z0-9_]*)_[0-9]{3,}#"), F.lit(1))
+    return tokenised.select(F.explode(marks).alias("category")).distinct()
+
+
 def lengths_of(registry: DataFrame) -> list[int]:
     """The lengths to probe: at most one per byte length, a few dozen in practice; 8 to 256 if none is known."""
     found = [r[0] for r in registry.where("length is not null").select("length").distinct().orderBy("length").collect()]
@@ -49,7 +55,10 @@ def _windows(texts: DataFrame, keys: list[str], runs_of, lengths: list[int]) ->
     """(keys, hash) of every byte window of the given lengths inside each run."""
     piece = texts.select(*keys, F.explode(F.array_distinct(runs_of)).alias("run")).where(F.octet_length("run") >= min(lengths))
     sized = piece.withColumn("raw", F.encode("run", "UTF-8")).withColumn("n", F.octet_length("run")).withColumn("w", F.explode(F.array(*map(F.lit, lengths)))).where("n >= w")
-    return sized.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1), lambda i: F.sha2(F.substring(F.col("raw"), i, F.col("w")), 256))).alias("hash"))
+    # a run of any length makes rows of at most CHUNK windows
+    last = F.col("n") - F.col("w") + 1
+    parts = sized.withColumn("at", F.explode(F.sequence(F.lit(1), last, F.lit(CHUNK)))).withColumn("to", F.least(F.col("at") + CHUNK - 1, last))
+    return parts.select(*keys, F.explode(F.transform(F.sequence("at", "to"), lambda i: F.sha2(F.substring(F.col("raw"), i, F.col("w")), 256))).alias("hash"))
 
 
 def leaks(texts: DataFrame, keys: list[str], column: str, registry: DataFrame, delimiter_free: bool = True) -> DataFrame:

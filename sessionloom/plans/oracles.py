@@ -96,6 +96,7 @@ SQL = {
     "role_classes": f"WITH {_L} SELECT session_id, line_no, CASE WHEN type = 'user' AND json_valid(payload) AND json_type(payload, '$.content') = 'ARRAY' AND len(list_filter(CAST(json_extract(payload, '$.content') AS JSON[]), lambda x: json_extract_string(x, '$.type') = 'tool_result')) > 0 THEN 'tool' ELSE type END AS role FROM l WHERE type IN ('user', 'assistant')",
     "masked_literals": f"WITH {_LITERALS} SELECT draft_id, literal, count(*) AS n FROM lit GROUP BY 1, 2",
     "registry_build": f"WITH {_LITERALS} SELECT DISTINCT sha256(literal) AS hash, CAST(strlen(literal) AS INTEGER) AS length FROM lit",
+    "registry_categories": "SELECT DISTINCT unnest(regexp_extract_all(body, '#([A-Z][A-Z0-9_]*)_[0-9]{3,}#', 1)) AS category FROM tokenised_entries",
     "leak_scan": f"WITH {_LITERALS}, {_KNOWN}, {_E} SELECT DISTINCT id, sha256(literal) AS hash FROM e JOIN known ON contains(body, literal)",
     "leak_hits": f"WITH {_HITS} SELECT draft_id, field, hits FROM hit",
     "leak_review": f"WITH {_HITS}, h AS (SELECT draft_id, CAST(sum(hits) AS BIGINT) AS hits FROM hit GROUP BY 1) SELECT draft_id, coalesce(hits, 0) AS hits, coalesce(needs_review, false) OR hits IS NOT NULL AS needs_manual_review, coalesce(review_reason, hits || ' registry hit(s)') AS review_reason FROM t LEFT JOIN h USING (draft_id)",

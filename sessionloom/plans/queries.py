@@ -279,6 +279,7 @@ def queries() -> dict[str, Query]:
         "role_classes": _on(role_classes, lines),
         "masked_literals": _on(masked_literals, drafts, tokenised),
         "registry_build": _on(registry_build, drafts, tokenised),
+        "registry_categories": _on(registry.categories, tokenised),
         "leak_scan": _on(leak_scan, drafts, tokenised, published),
         "leak_hits": _on(leak_hits, drafts, tokenised),
         "sequential_leaks": _on(sequential_leaks, drafts, tokenised),

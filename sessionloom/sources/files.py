@@ -31,6 +31,11 @@ def session_files(spark: SparkSession, path: str, content: bool = False) -> Data
     return _paths(found.select(*columns, *(["content"] if content else [])))
 
 
+def session_key(path: str) -> str:
+    """One key for a file however it is reached; URIs stay as they are."""
+    return path if "://" in path else os.path.realpath(path)
+
+
 def hashed(files: DataFrame) -> DataFrame:
     """Files with content -> with file_sha256 and without the content."""
     return files.withColumn("file_sha256", F.sha2("content", 256)).drop("content")

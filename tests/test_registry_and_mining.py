@@ -23,6 +23,12 @@ def test_growth_and_scan(spark):
     assert registry.leaks(texts, ["id"], "body", known.limit(0)).count() == 0
 
 
+def test_a_very_long_run(spark):
+    known, _ = frames(spark)
+    text = spark.createDataFrame([(1, "ab" * 100_000 + "12345678" + "cd" * 100_000)], "id int, body string")
+    assert registry.leaks(text, ["id"], "body", known).count() == 1
+
+
 def test_registry_files(spark, tmp_path):
     known, _ = frames(spark)
     path = str(tmp_path / "r.json")
