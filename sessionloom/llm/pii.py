@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from functools import reduce
 
 import pyarrow as pa
@@ -178,9 +179,10 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     found += [(a, b, 4) for a, b in _names(text, low)]
     out: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(found, key=lambda s: (s[2], s[0], -s[1])):
-        if not any(a < y and x < b for x, y, _ in out):
-            out.append((a, b, KINDS[kind]))
-    return sorted(out)
+        at = bisect(out, (a, b, ""))  # spans kept so far do not overlap, so only the neighbours matter
+        if not (at and out[at - 1][1] > a or at < len(out) and out[at][0] < b):
+            out.insert(at, (a, b, KINDS[kind]))
+    return out
 
 
 _PLACEHOLDER = re.compile(r"#([A-Z]+)_(\d+)#")
