@@ -66,6 +66,22 @@ m AS (SELECT a.src, a.key AS key_a, b.key AS key_b, count(*) AS k FROM g a JOIN
 SELECT m.src, key_a, key_b FROM m JOIN c p ON p.src = m.src AND p.key = key_a JOIN c q ON q.src = m.src AND q.key = key_b WHERE 10 * k >= 6 * (p.n + q.n - k)"""
 
 
+_P6_GROUPS = """WITH x AS (SELECT DISTINCT 'drafts' AS src, draft_id AS key, quote AS txt FROM drafts UNION ALL SELECT DISTINCT 'entries', id, body FROM entries),
+k AS (SELECT src, txt, min(key) AS class_id, count(*) AS copies FROM x GROUP BY 1, 2),
+""" + _grams("n", "src, class_id", 3, "txt", "k") + """, g AS (SELECT DISTINCT src, class_id, g FROM n), c AS (SELECT src, class_id, count(*) AS n FROM g GROUP BY 1, 2),
+m AS (SELECT a.src, a.class_id, b.class_id AS other, count(*) AS k FROM g a JOIN g b ON a.src = b.src AND a.g = b.g AND a.class_id <> b.class_id GROUP BY 1, 2, 3),
+l AS (SELECT m.src, m.class_id, count(*) AS links FROM m JOIN c p ON p.src = m.src AND p.class_id = m.class_id JOIN c q ON q.src = m.src AND q.class_id = other WHERE 10 * k >= 6 * (p.n + q.n - k) GROUP BY 1, 2)
+SELECT x.src, key, k.class_id, copies, coalesce(links, 0) AS links FROM x JOIN k ON k.src = x.src AND k.txt = x.txt JOIN c ON c.src = k.src AND c.class_id = k.class_id LEFT JOIN l ON l.src = k.src AND l.class_id = k.class_id"""
+_SPOKEN = _P1[: _P1.index("SELECT session_id FROM v GROUP BY 1")]
+_P1_TURNS = _SPOKEN.rstrip() + f""",
+bad AS ({_P1[len(_SPOKEN):]}),
+t AS (SELECT session_id, line_no, role, CASE WHEN json_type(payload, '$.content') = 'VARCHAR' THEN json_extract_string(payload, '$.content') ELSE array_to_string(list_filter(list_transform(CASE WHEN json_type(payload, '$.content') = 'ARRAY' THEN CAST(json_extract(payload, '$.content') AS JSON[]) END, lambda x: CASE WHEN json_type(x) = 'OBJECT' AND json_type(x, '$.text') = 'VARCHAR' THEN json_extract_string(x, '$.text') END), lambda y: y IS NOT NULL AND regexp_matches(y, '[^\\s]')), chr(10) || chr(10)) END AS txt
+ FROM v WHERE speaks AND session_id NOT IN (SELECT session_id FROM bad)),
+n AS (SELECT *, CASE WHEN role <> lag(role) OVER (PARTITION BY session_id ORDER BY line_no) THEN 1 ELSE 0 END AS new FROM t),
+i AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY line_no) AS turn_no FROM n)
+SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, role, min(line_no) AS first_line, max(line_no) AS last_line, string_agg(txt, chr(10) || chr(10) ORDER BY line_no) AS text FROM i GROUP BY session_id, turn_no, role"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The exact results, by brute force in SQL; the other operators are tested in tests/llm."""
-    return {"p1_found": _P1, "p5_found": _P5, "p6_found": _P6, "p8_found": _P8}
+    return {"p1_found": _P1, "p1_conversations": _P1_TURNS, "p6_groups": _P6_GROUPS, "p5_found": _P5, "p6_found": _P6, "p8_found": _P8}
