@@ -7,8 +7,8 @@ the right where a boundary of the re-split window falls on a boundary of the rig
 holds. Inside one long pre-split run (no boundary within reach) the tokens themselves are joined the same way: two
 token lists agree if the tokens that meet at both ends of the re-encoded window are the ones already there.
 
-Results on odd input: null and empty texts give an empty list; no normalisation, no special tokens; repeated rows are
-encoded each on their own.
+Results on odd input: null and empty texts give an empty list; no normalisation, no special tokens. doc_id is a key:
+repeated rows of a text encoded in one piece stay repeated, those of a text in leaves come out once.
 """
 
 from __future__ import annotations
