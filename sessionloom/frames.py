@@ -70,4 +70,4 @@ UNICODE_SPACE = r"\p{IsWhite_Space}"
 
 def utrim(col):
     """Trim every Unicode blank (Spark's trim strips U+0020 only)."""
-    return F.regexp_replace(col, rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
+    return F.regexp_replace(col, rf"^{UNICODE_SPACE}++|(?<!{UNICODE_SPACE}){UNICODE_SPACE}++$", "")  # linear on long blanks

@@ -119,7 +119,7 @@ def runs(text: Column) -> Column:
 
 def literals(text: Column) -> Column:
     """The tokens of a text that are long enough to be learnt; order and repetitions kept."""
-    trimmed = F.transform(runs(text), lambda t: F.regexp_replace(t, f"^{_EDGE}+|{_EDGE}+$", ""))
+    trimmed = F.transform(runs(text), lambda t: F.regexp_replace(t, f"^{_EDGE}++|(?<!{_EDGE}){_EDGE}++$", ""))
     return F.filter(trimmed, lambda t: F.octet_length(t) >= MIN_LITERAL_BYTES)
 
 

@@ -69,7 +69,13 @@ _MD = f"{_E}, md AS (SELECT id, regexp_replace(coalesce(body, '') || chr(10), '^
 _WORDS = [(name, w) for name, words in FAILURES for w in words]
 _CLASS = "CASE line_no % 14 " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(_WORDS)) + " ELSE 'none' END"
 
+_MATTER = " || ".join(f"coalesce(',\"{k}\":' || to_json({v}), '')" for k, v in (("title", "title"), ("project", "project"), ("category", "category"), ("source_type", "source.source_type"), ("session_id", "source.session_id"), ("message_range", "CASE WHEN source.message_range IS NOT NULL THEN [source.message_range.start, source.message_range.end] END"), ("extracted_at", "strftime(source.extracted_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')"), ("needs_manual_review", "needs_manual_review"), ("review_reason", "review_reason"), ("tags", "tags"), ("entities", "CAST(entities AS VARCHAR)")))
+
 SQL = {
+    "front_matter": f"WITH {_E} SELECT id, '{{\"id\":' || to_json(id) || {_MATTER} || '}}' AS front_matter FROM e",
+    "slug_filename": f"""WITH {_D}, s AS (SELECT draft_id, coalesce(seq_no, 0) AS n, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '-', 'g'), '-') AS x FROM d)
+ SELECT draft_id, printf('%03d', n) || '-' || CASE WHEN strlen(x) <= 60 THEN x ELSE rtrim(left(x, list_max(list_filter(range(1, length(x) + 1), lambda k: strlen(left(x, k)) <= 60))), '-') END || '.md' AS file_name FROM s""",
+    "json_candidates": f"WITH {_D} SELECT draft_id, true AS ok, 1 AS n, title FROM d WHERE quote IS NOT NULL AND why IS NOT NULL AND title IS NOT NULL AND category IS NOT NULL",
     "p3_found": f"""WITH RECURSIVE {_L}, ok AS (SELECT session_id, line_no, CAST(payload AS JSON) AS v FROM l WHERE CASE WHEN json_valid(payload) THEN json_type(payload) IN ('OBJECT', 'ARRAY') ELSE false END),
  node AS (SELECT session_id, line_no, '' AS p, v, false AS item FROM ok
   UNION ALL SELECT session_id, line_no, p || CASE WHEN is_list THEN '[' || (i - 1) || ']' WHEN p = '' THEN k[i] ELSE '.' || k[i] END, CASE WHEN is_list THEN json_extract(v, '$[' || (i - 1) || ']') ELSE json_extract(v, '$."' || k[i] || '"') END, is_list
