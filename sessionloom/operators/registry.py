@@ -13,6 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.frames import stash
 from sessionloom.functions.text import MIN_LITERAL_BYTES, masked_literals, runs, zipped
 from sessionloom.operators.state import atomic_write
 
@@ -33,6 +34,11 @@ def grow(literals: DataFrame) -> DataFrame:
     return literals.where(F.octet_length("literal") >= MIN_LITERAL_BYTES).select(F.sha2("literal", 256).alias("hash"), F.octet_length("literal").alias("length")).distinct()
 
 
+def learn(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
+    """The registry of a set of drafts, written once: a scan reads it for its lengths and again for its hashes."""
+    return stash(grow(draft_literals(drafts, tokenised)))
+
+
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).distinct()
 

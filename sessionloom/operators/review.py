@@ -20,7 +20,7 @@ def flags(tokenised: DataFrame, hits: DataFrame) -> DataFrame:
 
 def leak_review(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
     """Learn what was masked anywhere, scan every field, flag."""
-    known = registry.grow(registry.draft_literals(drafts, tokenised))
+    known = registry.learn(drafts, tokenised)
     return flags(tokenised, registry.field_hits(tokenised, known))
 
 

@@ -53,7 +53,7 @@ def mine(spark: SparkSession, path: str, config: EngineConfig) -> MineResult:
     drafts = extracted.where("ok").select("session_id", F.posexplode("drafts").alias("ix", "d")).select(F.concat_ws("/", "session_id", "ix").alias("draft_id"), "session_id", "ix", "d.*")
     done = stash(backends.tokenise(drafts.repartition(config.udf_partitions), config.tokeniser, TOKENISER_PROMPT))
     good = done.where("ok")
-    known = registry.merge(registry.load(spark, config.registry), registry.grow(registry.draft_literals(drafts, good)))
+    known = stash(registry.merge(registry.load(spark, config.registry), registry.grow(registry.draft_literals(drafts, good))))
     hits = registry.field_hits(good, known).groupBy("draft_id").agg(F.sum("hits").alias("hits"))
     sources = prepared.select("session_id", "path", "project_name")
     result = (

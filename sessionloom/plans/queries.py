@@ -118,12 +118,12 @@ def registry_build(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
 
 
 def leak_scan(drafts: DataFrame, tokenised: DataFrame, published: DataFrame) -> DataFrame:
-    known = registry.grow(registry.draft_literals(drafts, tokenised))
+    known = registry.learn(drafts, tokenised)
     return registry.leaks(published.select("id", "body").distinct(), ["id"], "body", known)
 
 
 def leak_hits(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
-    return registry.field_hits(tokenised, registry.grow(registry.draft_literals(drafts, tokenised)))
+    return registry.field_hits(tokenised, registry.learn(drafts, tokenised))
 
 
 def sequential_leaks(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def sequential_leaks(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
 
 
 def validate_counts(drafts: DataFrame, tokenised: DataFrame, published: DataFrame) -> DataFrame:
-    known = registry.grow(registry.draft_literals(drafts, tokenised))
+    known = registry.learn(drafts, tokenised)
     texts = _markdown(published).select("id", text.scannable(F.col("raw")).alias("shown"))
     hits = registry.leaks(texts, ["id"], "shown", known).select("id").distinct().withColumn("leaked", F.lit(True))
     return texts.select("id").join(hits, "id", "left").groupBy(F.coalesce("leaked", F.lit(False)).alias("leaked")).agg(F.count("*").alias("n"))
