@@ -55,7 +55,7 @@ _PHONE = re.compile(
     r"|0\d{2} \d{4} \d{4}"
     r"|0\d([. ])\d\d\2\d\d\2\d\d\2\d\d"
     r"|0\d{2,4}/\d{4,6}-\d{2,4}"
-    r")(?![\w-]|[./]\d| \d{3,})"
+    r")(?:,? ?ext\.? ?\d{1,6})?(?![\w-]|[./]\d| \d{3,})"
 )
 
 # --- identity numbers -----------------------------------------------------------------------------------------------
