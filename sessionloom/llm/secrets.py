@@ -1,10 +1,10 @@
-"""Credentials in code, configuration and notes: one automaton of anchors, grammars at each hit, spliced placeholders.
+"""Credentials in code, configuration and notes: automata over overlapping chunks, spliced placeholders.
 
-All anchors (token prefixes, key armour, the scheme separator of connection strings, and the names and phrases that
-introduce a value) are compiled into one deterministic Aho-Corasick automaton, which reads a text once in overlapping
-chunks. At each hit the anchor's grammar is matched in place on the whole text, so a secret that crosses a chunk's edge
-is found whole; spans are absolute and deduplicated. A value then must look like a live secret: references (variables,
-calls, vault paths), masks, placeholders, plain words and numbers, checksums and public certificates are none.
+Token formats, key armour and connection strings are grammars of one deterministic automaton (automaton.py). What a match
+can begin with, and the names and phrases that introduce a value, are anchors of an Aho-Corasick automaton, which reads a
+text once in overlapping chunks; at each anchor the grammars run in place on the whole text, so a secret that crosses a
+chunk's edge is found whole. Spans are absolute and deduplicated. A value must then look like a live secret: references
+(variables, calls, vault paths), masks, placeholders, plain words and numbers, checksums and public certificates are none.
 
 Results on odd input: null and empty texts give no rows and stay as they are; repeated rows of a draft_id count once.
 """
@@ -21,25 +21,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.frames import by_batch, spread
+from sessionloom.llm.automaton import Automaton
 
 CHUNK, OVERLAP = 65_536, 256
 
-# --- formats of whole tokens, by prefix (fixed values of the public formats) ------------------------------------------
-TOKENS = {
-    "AKIA": r"A[KS]IA[A-Z0-9]{12,}", "ASIA": r"A[KS]IA[A-Z0-9]{12,}",
-    "ghp_": r"gh[pousr]_\w{16,}", "gho_": r"gh[pousr]_\w{16,}", "ghu_": r"gh[pousr]_\w{16,}", "ghs_": r"gh[pousr]_\w{16,}", "ghr_": r"gh[pousr]_\w{16,}",
-    "github_pat_": r"github_pat_\w{20,}", "glpat-": r"glpat-[\w-]{16,}",
-    "xoxa-": r"xox[abprs]-[\w-]{12,}", "xoxb-": r"xox[abprs]-[\w-]{12,}", "xoxp-": r"xox[abprs]-[\w-]{12,}", "xoxr-": r"xox[abprs]-[\w-]{12,}", "xoxs-": r"xox[abprs]-[\w-]{12,}",
-    "sk-": r"sk-(?:[a-z]{3,6}-)?(?=[\w-]*\d)[A-Za-z0-9_-]{20,}", "sk_live_": r"[sr]k_(?:live|test)_\w{12,}", "sk_test_": r"[sr]k_(?:live|test)_\w{12,}", "rk_live_": r"[sr]k_(?:live|test)_\w{12,}", "rk_test_": r"[sr]k_(?:live|test)_\w{12,}",
-    "npm_": r"npm_\w{20,}", "hf_": r"hf_\w{20,}", "AIza": r"AIza[\w-]{20,}", "eyJ": r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
-}
-_TOKEN = {k: re.compile(v) for k, v in TOKENS.items()}
-
-# --- key armour ------------------------------------------------------------------------------------------------------
-_ARMOUR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----)[\s\S])*(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?")
-
-# --- connection strings ------------------------------------------------------------------------------------------------
-_CONNECTION = re.compile(r"://[^\s:/@'\"]*:(?P<v>[^\s/'\"]+?)@(?=[\w\[.-]+(?:[:/?\s'\",;)]|$))")
+# --- token formats, key armour and connection strings: one automaton (fixed values of the public formats) ---------------
+GRAMMARS = {
+    "aws": r"A[KS]IA[A-Z0-9]{12,}",
+    "github": r"(gh[pousr]_\w{16,}|github_pat_\w{20,})",
+    "gitlab": r"glpat-[\w-]{16,}",
+    "slack": r"xox[abprs]-[\w-]{12,}",
+    "stripe": r"[sr]k_(live|test)_\w{12,}",
+    "model": r"sk-[\w-]{20,}",
+    "npm": r"npm_\w{20,}",
+    "hub": r"hf_\w{20,}",
+    "google": r"AIza[\w-]{20,}",
+    "jwt": r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
+    "armour": r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY( BLOCK)?-----(-?-?-?-?[^-])*(-----END ([A-Z0-9]+ )*PRIVATE KEY( BLOCK)?-----)?",
+    "connection": r"://[^\s:/@'\"]*:[^\s/'\"]+@",
+}
+#: What a match can begin with.
+STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "sk-", "npm_", "hf_", "AIza", "eyJ", "-----BEGIN ", "://")
+_HOST = re.compile(r"[\w\[]")
 
 # --- names and phrases that introduce a value --------------------------------------------------------------------------
 _NAMED = ("password", "passwd", "passphrase", "pwd", "_pw", "_pass", "secret", "token", "apikey", "_key", "-key", "accesskey", "credential", "credentials", "privatekey", "secretkey", "signingkey", "passcode")
@@ -62,6 +65,7 @@ _PHRASES = (
     (" -p", r" -p ?[\"']?(?P<v>[^\s\"'-][^\s\"']{5,})", 2),
     ("cookie:", r"cookie:[^\n]*?\b(?:session|sessionid|sid|auth|token|jwt)=(?P<v>[^\s;\"']{12,})", 1),
     ("kind: secret", r"kind: secret\b(?:\n(?!---)[^\n]*)*?\n(?:data|stringdata):(?:\n[ \t]+[\w.-]+: *[^\n]*)*", 5),
+    ("\n  ", r"\n {2,}[\w.-]+: *[\"']?(?P<v>[A-Za-z0-9+/]{12,}={0,2})[\"']?(?=\s|$)", 4),
     ("unsure about ", r"unsure about [\"']?(?P<v>" + _VALUE + r"{8,})", 1),
     ("value ", r"value [\"']?(?P<v>" + _VALUE + r"{8,})[\"']? looked\b", 1),
 )
@@ -98,14 +102,12 @@ def _decodes(value: str) -> bool:
 def _automaton():
     """All anchors in one automaton; the payload lists (anchor length, kind, grammar, strictness)."""
     anchors: dict[str, list] = {}
-    for prefix in TOKENS:
-        anchors.setdefault(prefix.lower(), []).append(("token", prefix, None, 0))
-    anchors["-----begin "] = [("armour", None, _ARMOUR, 0)]
-    anchors["://"] = [("url", None, _CONNECTION, 2)]
+    for prefix in STARTS:
+        anchors.setdefault(prefix.lower(), []).append(("grammar", None, 0))
     for name in _NAMED:
-        anchors.setdefault(name, []).append(("name", None, _ASSIGN, 2))
+        anchors.setdefault(name, []).append(("name", None, 2))
     for anchor, grammar, strict in _PHRASES:
-        anchors.setdefault(anchor, []).append(("phrase", None, re.compile(grammar, re.IGNORECASE), strict))
+        anchors.setdefault(anchor, []).append(("phrase", re.compile(grammar, re.IGNORECASE), strict))
     out = ahocorasick.Automaton()
     for anchor, rules in anchors.items():
         out.add_word(anchor, (len(anchor), tuple(rules)))
@@ -131,6 +133,25 @@ def _edge(text: str, at: int) -> bool:
     return at == 0 or not (text[at - 1].isalnum() or text[at - 1] in "_-")
 
 
+@cache
+def _grammars() -> Automaton:
+    return Automaton(GRAMMARS)
+
+
+def _formatted(text: str, start: int) -> tuple[int, int] | None:
+    """The span of a token, a key block or a connection string's password that starts at an anchor."""
+    m = _grammars().match(text, start)
+    if not m:
+        return None
+    end, name = m
+    if name == "armour":
+        return start, start + len(text[start:end].rstrip("\n '\"`"))
+    if name == "connection":
+        a, b = text.index(":", start + 3) + 1, end - 1
+        return (a, b) if _HOST.match(text, end) and _live(text[a:b], 2) else None
+    return (start, end) if _edge(text, start) and (name != "model" or any(c.isdigit() for c in text[start:end])) else None
+
+
 def _named(text: str, start: int, end: int) -> tuple[int, int] | None:
     m = _ASSIGN.match(text, end)
     if not m or start >= 7 and text[max(0, start - 8) : start].lower().endswith(("public_", "public-", "public")):
@@ -153,19 +174,13 @@ def spans(text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[
         return []
     found: set[tuple[int, int]] = set()
     for start, end, rules in _hits(text, chunk, overlap):
-        for kind, prefix, grammar, strict in rules:
-            if kind == "token":
-                if text.startswith(prefix, start) and _edge(text, start) and (m := _TOKEN[prefix].match(text, start)):
-                    found.add(m.span())
+        for kind, grammar, strict in rules:
+            if kind == "grammar":
+                if span := _formatted(text, start):
+                    found.add(span)
             elif kind == "name":
                 if span := _named(text, start, end):
                     found.add(span)
-            elif kind == "armour":
-                if m := grammar.match(text, start):
-                    found.add((start, start + len(m[0].rstrip("\n '\"`"))))
-            elif kind == "url":
-                if (m := grammar.match(text, start)) and _live(m["v"], 2):
-                    found.add(m.span("v"))
             elif m := grammar.match(text, start):
                 if strict == 5:
                     data = text.find("data:", *m.span())
