@@ -123,6 +123,21 @@ def test_secrets(spark):
     assert secrets.found(df.limit(0), df.limit(0)).count() == 0 and secrets.redacted(df, df).count() == 4
 
 
+def test_the_automaton_agrees_with_patterns():
+    import re
+
+    from sessionloom.llm.automaton import Automaton
+
+    patterns = {"a": r"ab{2,3}c?", "b": r"(x|yz)+[0-9]*", "c": r"a[^b\s]{2,}", "d": r"-+q|ab"}
+    machine, rng = Automaton(patterns), random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choices("abcxyz0-q ", k=rng.randint(0, 10)))
+        at = rng.randint(0, len(text))
+        ends = [(max((e for e in range(at, len(text) + 1) if re.compile(p).fullmatch(text, at, e)), default=-1), name) for name, p in patterns.items()]
+        best = max(e for e, _ in ends)
+        assert machine.match(text, at) == (None if best < 0 else (best, next(n for e, n in ends if e == best)))
+
+
 def test_splitting(spark):
     import json
 
