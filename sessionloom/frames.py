@@ -58,10 +58,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_STASHED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete this session's stashed tables; results that were built on them can no longer be read."""
+    jvm, done = spark.sparkContext._jvm, 0
+    while _STASHED:
+        path = jvm.org.apache.hadoop.fs.Path(_STASHED.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write a result once to the shared checkpoint folder and read it back: no lineage, and read as often as needed."""
     where = f"{checkpoint_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(where)
+    _STASHED.append(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 

@@ -20,3 +20,12 @@ def test_entry_points(spark):
     folder = Path("/root/testdata/sf0.001")
     if folder.is_dir():
         assert entry.entry(spark).columns == ["draft_id", "hits", "needs_manual_review", "review_reason"]
+
+
+def test_stashed_tables_can_be_released(spark):
+    from sessionloom import frames
+
+    frames.release(spark)
+    df = frames.stash(spark.range(10))
+    assert df.count() == 10 and frames.release(spark) == 1 and frames.release(spark) == 0
+    assert frames.cut(spark.range(5)).count() == 5 and frames.spread(spark.range(5).coalesce(1)).count() == 5
