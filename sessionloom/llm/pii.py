@@ -89,7 +89,8 @@ _L = r"(?:[^\W\d_]+['’-][^\W\d_]{2,}|[^\W\d_]{2,}(?:['’-][^\W\d_]{2,})*)"  #
 #: First Last, First M. Last, F. Last, Last, First; then the same in lower case (two words)
 _NAME = rf"(?:{_C} (?:{_C}\. )?{_C}|{_C}\. {_C}|{_C}, {_C}(?: {_C}\.)?)"
 _CAP, _EITHER, _EDGE = rf"(?P<at>{_NAME})", rf"(?P<at>{_NAME}|{_L} {_L})", r"(?<![\w#'’-])"
-_ID_NEXT = r", (?:social|ssn|nino|ni number|national|personal|steuer|tax|passport|id\b|[\dA-Z]{2,9}[ -]?\d)[^\n]{6,45}?, is in the\b"
+_ID_LABEL = r"(?:social|ssn|nino|ni number|national|personal|steuer|tax|passport|id\b)"
+_ID_NEXT = rf", (?:{_ID_LABEL}|#ID_|[\dA-Z]{{2,9}}[ -]?\d)[^\n]{{4,45}}?, is in the\b"
 #: A person's frames: trigger in lower case, what stands before, the name's form, what stands after.
 _FRAMES = [
     (trigger, re.compile(f"(?i:{before}){name}(?i:{after})"))
@@ -114,6 +115,7 @@ _FRAMES = [
         ("pinged ", r"\bpinged ", _CAP, ""),
         ("deliver ", r"\bdeliver (?:\w+ ){1,3}to ", _EITHER, ","),
         ("deliver ", r"\bdeliver (?:\w+ ){1,3}to ", _CAP, ""),
+        ("deliver ", r"\bdeliver (?:\w+ ){1,3}to ", _EITHER, r" (?=\d|flat |apt |calle |avenida |am |alte |\w+(?:stra(?:ß|ss)e|weg|gasse) )"),
         ("r. ", r"\b(?:dr|mr)\. ", _CAP, ""),
         ("r. ", r"\b(?:dr|mr)\. ", _EITHER, r" said\b"),
         ("s. ", r"\bm(?:r)?s\. ", _CAP, ""),
@@ -134,9 +136,10 @@ _FRAMES = [
         (" the same ", r"\byesterday #[A-Z]+_\d+# and ", _EITHER, r" \w+ the same\b"),
         (" the same ", _EDGE, _CAP, rf" and (?-i:(?P<also>{_NAME})) \w+ the same\b"),
         (", is in the ", _EDGE, _EITHER, _ID_NEXT),
+        (" is in the ", _EDGE, _EITHER, rf" {_ID_LABEL}[^\n.]{{4,45}}? is in the\b"),
     )
 ]
-_NOT_NAMES = re.compile(r"\b(?:[Tt]he|[Aa]n|[Mm]y|[Yy]our|[Oo]ur|[Tt]heir|[Tt]his|[Tt]hat|[Tt]eam|[Pp]latform|[Nn]obody|[Ee]veryone|[Ss]omeone|[Yy]ou|[Ww]e|[Tt]hey|[Ii]t)\b")
+_NOT_NAMES = re.compile(r"\b(?:[Tt]he|[Aa]n|[Mm]y|[Yy]our|[Oo]ur|[Tt]heir|[Tt]his|[Tt]hat|[Tt]eam|[Pp]latform|[Nn]obody|[Ee]veryone|[Ss]omeone|[Yy]ou|[Ww]e|[Tt]hey|[Ii]t|social|security|number|national|personal|passport|taxpayer|row|with|print)\b")
 
 
 def _names(text: str, low: str) -> list[tuple[int, int]]:
