@@ -11,17 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SESSION_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-}
+SESSION_CONF = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session settings that results depend on: times are UTC, joins adapt to skew."""
+    for key, value in SESSION_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One parquet table of a data folder; column pruning and filters reach the scan."""
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{root}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
