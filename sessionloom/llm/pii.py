@@ -101,7 +101,7 @@ _FRAMES = [
         ("belongs to ", r"\bbelongs to ", _EITHER, r" now\b"),
         ("todo(", r"\btodo\(", _EITHER, r"\)"),
         ("approved by ", r"\bapproved by ", _CAP, ""),
-        ("approved by ", r"\bapproved by ", _EITHER, r", who\b"),
+        ("approved by ", r"\bapproved by ", _EITHER, r",? who\b"),
         ("ask ", r"\bask ", _EITHER, r" about\b"),
         ("ask ", r"\bask ", _CAP, ""),
         ("regards", r"\bregards,?[ \t]*\n\s*", _EITHER, r"(?!\w)"),
@@ -121,13 +121,13 @@ _FRAMES = [
         ("s. ", r"\bm(?:r)?s\. ", _CAP, ""),
         ("prof. ", r"\bprof\. ", _CAP, ""),
         ("|", r"\| ?", _EITHER, r" ?\|"),
-        (" here, ", _EDGE, _EITHER, r" here, the\b"),
+        (" here", _EDGE, _EITHER, r" here,? the\b"),
         (" never trusts ", _EDGE, _EITHER, r" never trusts\b"),
         ("the day ", r"\bthe day ", _EITHER, r" \w+ (?:the|a|an|my) "),
         (" on call", _EDGE, _EITHER, r" \([^\n]{6,30}?\) is on call\b"),
         (" will never ", _EDGE, _CAP, r" will never believe\b"),
-        (", who owns", _EDGE, _EITHER, r", who owns\b"),
-        (" now, not to", _EDGE, _CAP, r" now, not to\b"),
+        (" who owns", _EDGE, _EITHER, r",? who owns\b"),
+        (" not to", _EDGE, _CAP, r" now,? not to\b"),
         (" said the ", _EDGE, _CAP, r" said the\b"),
         (" about the ", _EDGE, _CAP, r" about the \w+ before\b"),
         ("'s queue and ", _EDGE, _CAP, r"'s queue and\b"),
