@@ -1,19 +1,19 @@
-"""Near-duplicate texts: segment embedding of shingle fingerprints, grid join on segment cells, exact verification.
-
-A text is the set of its 3-word shingles, as 32-bit fingerprints. The fingerprint space is cut into SEGMENTS segments;
-a text's embedding is the count of its shingles in each (its per-segment popcounts). The Manhattan distance of two
-embeddings is a lower bound of the symmetric difference of the sets, which at Jaccard similarity t is at most
-(1 - t) / (1 + t) * (|A| + |B|).
-
-At t = 0.6 that radius is as wide as the counts' own spread, so a grid over counts alone keeps nearly every pair (the
-README has figures). The grid is therefore finer: a cell is the exact content of a segment, of cell width zero. A pair
-within the radius differs in few shingles, so many of its segments are untouched and the two meet in many cells. A cell
-is extended over the following segments until it carries information ln(n) + MARGIN, -ln of the product of its
-shingles' document frequencies over all texts, or ENOUGH shingles, so that unrelated texts seldom meet. Frequencies come
-from a sketch of fixed size over all texts. Short texts have cells of single shingles instead (see cells). Cells whose shingles are
+"""Near-duplicate texts: shingle fingerprints, cells of the rarest shingles, segment-count bound, exact verification.
+
+A text is the set of its 3-word shingles, as 32-bit fingerprints. Partners at Jaccard similarity t share at least t of
+the larger set, so whatever their length the rarest SHARED shingles that they share are among the (1 - t) * n + SHARED
+rarest of each: each of these is a cell. Two texts are candidates if they meet in SHARED cells, or in one if they
+need not share so many. No pair is lost. Frequencies come from a sketch of fixed size over all texts, so the order of
+shingles is the same in every text. A cell's row carries the text's size and the shingle's place in that order; a
+meeting after which too few shingles are left in either text doesn't count (see _meet). Cells whose shingles are
 frequent are split in blocks, so that no task holds more than about 2 * BLOCK of a hot cell's texts; every two blocks
 meet in one task.
 
+The fingerprint space is cut into segments; a text's embedding is the count of its shingles in each (its per-segment
+popcounts). The Manhattan distance of two embeddings is a lower bound of the symmetric difference of the sets, which at
+similarity t is at most (1 - t) / (1 + t) * (|A| + |B|). At t = 0.6 that radius is as wide as the counts' own spread, so
+a grid over counts keeps nearly every pair (the README has figures); the bound only filters what met.
+
 Candidates are checked by the Manhattan bound, then exactly. Texts with equal sets form one class with one id; pairs of
 classes are found once and expanded by membership at the end.
 
@@ -23,7 +23,6 @@ columns are not read; empty tables give no rows.
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -34,11 +33,11 @@ from pyspark.sql import functions as F
 
 from sessionloom.frames import by_batch, spread, stash
 
-SHINGLE, THRESHOLD, SEGMENTS, MARGIN, BLOCK = 3, 0.6, 56, 2.0, 4096
-ENOUGH, SHORT = 4, 40
+SHINGLE, THRESHOLD, SHARED, BLOCK = 3, 0.6, 3, 4096
 SKETCH, MARKS = 1 << 18, 1 << 25
 _WORD = re.compile(r"[^\W_]+")  # letters and digits
-_SEED = {"drafts": 0x5EED1, "entries": 0x5EED2}
+_SOURCE = {"drafts": 0, "entries": 1}
+MOST = 1 << 15  # blocks of a cell
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -86,50 +85,23 @@ def shingles(text: str | None) -> np.ndarray:
     return fingerprints([text])[1]
 
 
-def cells(src: str, owner: np.ndarray, sh: np.ndarray, info: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The cells of a batch of texts: (index of the text, key, most information of one of its shingles).
-
-    A cell starts at each non-empty segment and takes following ones until it carries `need` (thousandths of a nat; whole
-    numbers, so that equal contents always end alike) or ENOUGH shingles.
+def cells(src: str, owner: np.ndarray, sh: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The cells of a batch of texts: (index of the text, key, information of the shingle, the text's size, the shingle's place).
 
-    Short texts have too few segments for that. Partners at similarity t share at least t of the larger set, so each
-    shares one of its rarest (1 - t) * n + 1 shingles with any partner: up to SHORT / t shingles, each of these is a cell
-    of its own, and up to SHORT they are the only ones. Two texts meet in these exactly, or both in the others.
+    A text's rarest n - ceil(t * n) + SHARED shingles, each a cell of its own; equal frequencies are ordered by fingerprint.
     """
+    if not len(sh):
+        return owner, np.zeros(0, np.int64), np.zeros(0, np.int64), owner, owner
     number = np.bincount(owner)[owner]  # how many shingles the text has
     weight = info[sh & np.uint32(SKETCH - 1)]
-    few = np.flatnonzero(number <= SHORT / THRESHOLD)
-    order = few[np.lexsort((sh[few], -weight[few], owner[few]))]
-    new = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]])) if len(order) else order
+    order = np.lexsort((sh, -weight, owner))
+    new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))  # owners ascend in both orders
     place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-    rare = order[place < number[order] - np.ceil(THRESHOLD * number[order] - 1e-9) + 1]
-    with np.errstate(over="ignore"):
-        single = _mix(sh[rare].astype(np.uint64) * _K1 + np.uint64(SEGMENTS) * _K3 + np.uint64(_SEED.get(src, 7)))
-    many = number > SHORT
-    text, key, strongest = _spans(src, owner[many], sh[many], weight[many], need)
-    return np.concatenate([owner[rare], text]), np.concatenate([single, key]).view(np.int64), np.concatenate([weight[rare], strongest])
-
-
-def _spans(src: str, owner: np.ndarray, sh: np.ndarray, weight: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not len(sh):
-        return owner, np.zeros(0, np.uint64), weight
-    segment = ((sh.astype(np.uint64) * np.uint64(SEGMENTS)) >> np.uint64(32)).astype(np.int64)  # by high bits: sorted with sh
-    where = owner * SEGMENTS + segment
-    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-    text = owner[first]
-    mass = np.concatenate([[0], np.cumsum(np.add.reduceat(weight, first))])
-    count = np.append(first, len(sh))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.add.reduceat(_mix(sh.astype(np.uint64) * _K1 + np.uint64(1)), first), dtype=np.uint64)])
-    start, last = np.arange(len(first)), np.searchsorted(text, text, "right")
-    end = np.maximum(np.minimum(np.searchsorted(mass, mass[:-1] + need), np.searchsorted(count, count[:-1] + ENOUGH)), start + 1)
-    take = np.flatnonzero(end <= last)
-    start, end = start[take], end[take]
-    rare = np.append(np.maximum.reduceat(weight, first), 0)
-    strongest = np.maximum.reduceat(rare, np.ravel(np.column_stack([start, end])))[::2] if len(start) else rare[:0]
-    with np.errstate(over="ignore"):
-        key = _mix((sums[end] - sums[start]) * _K1 + segment[first][take].astype(np.uint64) * _K3 + np.uint64(_SEED.get(src, 7)))
-    return text[take], key, strongest
+    take = place < number - np.ceil(THRESHOLD * number - 1e-9) + SHARED
+    rare, place = order[take], place[take]
+    # the shingle, the two blocks (see _cell_rows), the source: like bits side by side pack well in the shuffle
+    key = sh[rare].astype(np.int64) + (_SOURCE[src] << 62)
+    return owner[rare], key, weight[rare], number[rare], place
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -193,66 +165,78 @@ def _sketch(prints: DataFrame) -> np.ndarray:
 
 
 def _cell_rows(prints: DataFrame, src: str, sketch: np.ndarray) -> DataFrame:
-    """(cell, id) of every text's cells; a hot cell's texts go to every pair of blocks with their own."""
+    """(cell, id, size, place, side) of every text's cells; a hot cell's texts go to every pair of blocks with their own."""
     n = max(1, int(sketch[SKETCH]))
     shared = prints.sparkSession.sparkContext.broadcast((-1000 * np.log(np.clip(sketch[:SKETCH], 1, n) / n)).astype(np.int64))
-    need = int(1000 * (math.log(n) + MARGIN))
 
     def run(batch: pa.RecordBatch) -> dict:
         batch = _once(batch)
-        text, key, strongest = cells(src, *_unpack(batch), shared.value, need)
+        text, key, weight, number, place = cells(src, *_unpack(batch), shared.value)
         ids = batch["id"].to_numpy(zero_copy_only=False)[text]
-        blocks = np.maximum(np.ceil(n * np.exp(strongest / -1000.0) / BLOCK), 1).astype(np.int64)
+        blocks = np.clip(np.ceil(n * np.exp(weight / -1000.0) / BLOCK), 1, MOST).astype(np.int64)
+        side = np.full(len(key), 2, np.int8)  # of two blocks in one task, 0 or 1: only unlike sides meet
         if (blocks > 1).any():
             row = np.repeat(np.arange(len(key)), blocks)
             other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            ids, hot = ids[row], blocks[row]
+            ids, hot, number, place = ids[row], blocks[row], number[row], place[row]
             block = (ids.view(np.uint64) % hot.astype(np.uint64)).astype(np.int64)
-            meeting = (np.minimum(block, other) << 20) + np.maximum(block, other)
-            with np.errstate(over="ignore"):
-                key = np.where(hot > 1, (key[row].view(np.uint64) + _mix(meeting.astype(np.uint64) * _K2)).view(np.int64), key[row])
-        return {"cell": pa.array(key), "id": pa.array(ids)}
+            side = np.where(block == other, 2, block > other).astype(np.int8)
+            meeting = (np.minimum(block, other) << 15) + np.maximum(block, other)
+            key = key[row] + (np.where(hot > 1, meeting, 0) << 32)
+        return {"cell": pa.array(key), "id": pa.array(ids), "size": pa.array(number.astype(np.int32)), "place": pa.array(place.astype(np.int32)), "side": pa.array(side)}
 
-    return by_batch(prints, run, "cell long, id long")
+    return by_batch(prints, run, "cell long, id long, size int, place int, side byte")
 
 
 def _meet(batches):
-    """Rows sorted by cell and id: every two different ids of a cell."""
-    rest: tuple[np.ndarray, np.ndarray] | None = None
+    """Rows sorted by cell and id: every two different ids of a cell that can be partners, and in how many cells.
+
+    Partners of sizes m and n share at least t / (1 + t) * (m + n) shingles. At the k-th that they share, all but k - 1 of
+    these are still to come, so the first SHARED meetings count; of the others any may be dropped.
+    """
+    rest: list[np.ndarray] | None = None
     for batch in batches:
-        cell, ids = (batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "id"))
+        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "id", "size", "place", "side")]
         if rest is not None:
-            cell, ids = np.concatenate([rest[0], cell]), np.concatenate([rest[1], ids])
+            rows = [np.concatenate(x) for x in zip(rest, rows)]
+        if not len(rows[0]):
+            continue
+        cell, ids = rows[:2]
         new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (ids[1:] != ids[:-1])])  # copies of a class meet as one
-        cell, ids = cell[new], ids[new]
-        last = np.searchsorted(cell, cell[-1], "left")  # the last cell may go on in the next batch
-        rest = (cell[last:].copy(), ids[last:].copy())
-        yield from _pairs(cell[:last], ids[:last])
+        rows = [x[new] for x in rows]
+        last = np.searchsorted(rows[0], rows[0][-1], "left")  # the last cell may go on in the next batch
+        rest = [x[last:].copy() for x in rows]
+        yield from _pairs(*(x[:last] for x in rows))
     if rest is not None:
         yield from _pairs(*rest)
 
 
-def _pairs(cell: np.ndarray, ids: np.ndarray):
-    left, right = [], []
+def _pairs(cell: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.ndarray, side: np.ndarray):
+    found, rows = [], 0
     for step in range(1, len(cell)):  # partners `step` rows on, as long as any cell is that long
         same = np.flatnonzero(cell[step:] == cell[:-step])
         if not len(same):
             break
-        left.append(ids[same])
-        right.append(ids[same + step])
-        if sum(map(len, left)) > 500_000:
-            yield _batch(left, right)
-            left, right = [], []
-    if left:
-        yield _batch(left, right)
-
-
-def _batch(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = np.concatenate(left), np.concatenate(right)
+        other = same + step
+        least = np.ceil(THRESHOLD / (1 + THRESHOLD) * (size[same].astype(np.int64) + size[other]) - 1e-6)  # what partners share
+        left = np.minimum(size[same] - place[same], size[other] - place[other])  # what is still to come
+        take = (left >= least - (SHARED - 1)) & ((side[same] != side[other]) | (side[same] == 2))
+        # partners that must share fewer than SHARED meet once at least, and that is enough
+        found.append((ids[same[take]], ids[other[take]], np.where(least[take] < SHARED, SHARED, 1)))
+        rows += len(found[-1][0])
+        if rows > 500_000:
+            yield _batch(found)
+            found, rows = [], 0
+    if rows:
+        yield _batch(found)
+
+
+def _batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    a, b, n = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return pa.RecordBatch.from_pydict({"a": pa.array(a[new]), "b": pa.array(b[new])})
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return pa.RecordBatch.from_pydict({"a": pa.array(a[new]), "b": pa.array(b[new]), "n": pa.array(np.add.reduceat(n[order], new), pa.int64())})
 
 
 def _marks(found: DataFrame) -> bytes:
@@ -289,7 +273,8 @@ def class_pairs(tables: dict[str, DataFrame]) -> DataFrame:
         every = prints if every is None else every.unionByName(prints)
     shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # ids of a cell come in ascending order, so a < b
-    found = stash(rows.repartition(shuffles, "cell").sortWithinPartitions("cell", "id").mapInArrow(_meet, "a long, b long").distinct())
+    met = rows.repartition(shuffles, "cell").sortWithinPartitions("cell", "id").mapInArrow(_meet, "a long, b long, n long")
+    found = stash(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"))
     needed = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
     marks = every.sparkSession.sparkContext.broadcast(_marks(found))
 

@@ -187,6 +187,26 @@ def test_near_duplicates(spark):
     assert neardup.similar_pairs(drafts.limit(0), entries.limit(0)).count() == 0
 
 
+def test_long_near_duplicates(spark):
+    """Texts of 600 to 5,000 words at similarities of 0.6 to 0.8: scattered edits leave no long stretch untouched."""
+    rng = random.Random(12)
+    rows = []
+    for g, size in enumerate((600, 1000, 2000, 5000)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for c in range(10):  # of equal size, or cut at the end
+            own = base[: size - size // 5 * (c % 3 == 2)]
+            for i in rng.sample(range(len(own)), size // 50 + c * size // 600):
+                own[i] = f"x{rng.randrange(10**6)}"
+            rows.append((f"{g}-{c}", " ".join(own)))
+    drafts = spark.createDataFrame(rows, "draft_id string, quote string")
+    entries = spark.createDataFrame([], "id string, body string")
+    grams = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in rows for w in [t.split()]}
+    alike = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in grams for b in grams if a < b}
+    want = {k for k, j in alike.items() if j >= 0.6}
+    assert all(sum(k[0][0] == g and 0.6 <= alike[k] < 0.8 for k in want) >= 10 for g in "0123")
+    assert {(r.key_a, r.key_b) for r in neardup.similar_pairs(drafts, entries).collect()} == want
+
+
 def test_hot_cells_split_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     rng = random.Random(4)
