@@ -3,9 +3,11 @@
 Documents and items are read as word sequences. Every window of WINDOW words of an item, and every window of a document
 that can match one, is embedded by CGK random walks: in step j the walk emits the word under its pointer and moves on by
 a shared random bit of (j, word), so that a small edit distance becomes a small Hamming distance. A band samples a few
-of the emitted places; equal samples make a candidate. Equal windows embed equally, so they collide in every band;
-windows with edits collide in at least one of the BANDS bands with the probability that tests measure. Candidates are
-verified: p8_found by equality of the 13 words, `similar` by exact word edit distance.
+of the emitted places; equal samples make a candidate. Equal windows embed equally, so they collide in every band.
+Windows with edits may miss each other in all bands, so these meet by segments too: of `edits` + 1 segments of the item's
+window one is free of edits and stands in the document's window, moved by edits / 2 words at most as both are of one
+length. No window within the allowed edits is lost. Candidates are verified: p8_found by equality of the 13 words,
+p8_passages by exact word edit distance.
 
 Only windows in which all words (or all but the allowed edits) are item words are embedded; others cannot match.
 
@@ -62,6 +64,22 @@ class Index:
         for b in range(bands):
             order = np.argsort(keys[b], kind="stable")
             self.sorted.append((keys[b][order], order))
+        self.segments = []
+        for k in range(edits + 1 if edits else 0):
+            a, b = window * k // (edits + 1), window * (k + 1) // (edits + 1)
+            key = self.segment(self.windows, a, b)
+            order = np.argsort(key, kind="stable")
+            self.segments.append((a, b, key[order], order))
+
+    @staticmethod
+    def segment(windows: np.ndarray, a: int, b: int) -> np.ndarray:
+        """A 64-bit key of the windows' words a to b."""
+        key = np.zeros(len(windows), np.int64)
+        with np.errstate(over="ignore"):
+            for j in range(a, b):
+                key = (key ^ windows[:, j]) * np.int64(-7046029254386353131)
+                key ^= (key >> np.int64(29)) & np.int64(0x7FFFFFFFF)
+        return key
 
     def keys(self, windows: np.ndarray) -> list[np.ndarray]:
         """One 64-bit key a band and window."""
@@ -85,9 +103,13 @@ class Index:
         return keys
 
     def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of windows, item window) pairs that agree in at least one band."""
+        """(row of windows, item window) pairs that agree in at least one band or segment."""
         left, right = [], []
-        for (sorted_keys, order), key in zip(self.sorted, self.keys(windows)):
+        lookups = [(*x, key) for x, key in zip(self.sorted, self.keys(windows))]
+        for a, b, sorted_keys, order in self.segments:
+            for shift in range(max(-(self.edits // 2), -a), min(self.edits // 2, self.window - b) + 1):
+                lookups.append((sorted_keys, order, self.segment(windows, a + shift, b + shift)))
+        for sorted_keys, order, key in lookups:
             a, b = np.searchsorted(sorted_keys, key, "left"), np.searchsorted(sorted_keys, key, "right")
             n = b - a
             row = np.repeat(np.arange(len(key)), n)

@@ -276,6 +276,25 @@ def test_edited_passages_reach_the_recall():
     assert leaks.edit_distance([1, 2, 3], [1, 3], 2) == 1 and leaks.edit_distance([1, 2, 3], [4, 5, 6], 1) == 2
 
 
+@pytest.mark.parametrize("kind", ["s", "i", "d", "ss", "si", "sd", "ii", "id", "dd"])
+def test_no_edited_window_is_lost(kind):
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = tuple((i, " ".join(rng.choices(vocabulary, k=13))) for i in range(150))
+    index = leaks.Index(items, edits=2)
+    made = 0
+    for i, t in items:
+        w = t.split()
+        for edit in kind:
+            at = rng.randrange(1, len(w) - 1)
+            w[at : at + (edit != "i")] = [] if edit == "d" else [rng.choice(vocabulary)]
+        w = [*rng.choices(vocabulary, k=3), *w, *rng.choices(vocabulary, k=3)]
+        near = {(k, at, d) for at in range(len(w) - 12) for k in {i, (i + 1) % 150} for d in [leaks.edit_distance(w[at : at + 13], items[k][1].split(), 2)] if d <= 2}
+        assert {h for h in index.hits(" ".join(w)) if h[0] in (i, (i + 1) % 150)} == near
+        made += bool(near)
+    assert kind not in ("s", "i", "d", "ss", "id") or made > 100  # the others shift the end too: windows of 13 are often further off
+
+
 def garble(text, encoding, decoding):
     if decoding == "web":
         return "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in text.encode(encoding))
