@@ -3,11 +3,15 @@
 A text is the set of its 3-word shingles, as 32-bit fingerprints. Partners at Jaccard similarity t share at least t of
 the larger set, so whatever their length the rarest SHARED shingles that they share are among the (1 - t) * n + SHARED
 rarest of each: each of these is a cell. Two texts are candidates if they meet in SHARED cells, or in one if they
-need not share so many. No pair is lost. Frequencies come from a sketch of fixed size over all texts, so the order of
-shingles is the same in every text. A cell's row carries the text's size and the shingle's place in that order; a
-meeting after which too few shingles are left in either text doesn't count (see _meet). Cells whose shingles are
-frequent are split in blocks, so that no task holds more than about 2 * BLOCK of a hot cell's texts; every two blocks
-meet in one task.
+need not share so many. No pair is lost. Frequencies come from a sketch over all texts, so the order of shingles is the
+same in every text; the sketch grows with the corpus, a bucket for INSTANCES shingles, within fixed bounds. A shingle
+alone in its bucket is in no other text and makes no cell. A cell's row carries the text's size and the shingle's place
+in that order; a meeting after which too few shingles are left in either text doesn't count (see _pairs).
+
+A bucket's count is an upper bound of its shingles' frequencies. Cells whose bound is over BLOCK are counted exactly, and
+those that really have so many texts are split in blocks, so that no task holds more than about 2 * BLOCK of a hot
+cell's texts; every two blocks meet in one task. How often a row is copied depends on its own cell alone, not on the
+corpus' size.
 
 The fingerprint space is cut into segments; a text's embedding is the count of its shingles in each (its per-segment
 popcounts). The Manhattan distance of two embeddings is a lower bound of the symmetric difference of the sets, which at
@@ -23,35 +27,67 @@ columns are not read; empty tables give no rows.
 
 from __future__ import annotations
 
-import re
+import zlib
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.frames import by_batch, spread, stash
 
 SHINGLE, THRESHOLD, SHARED, BLOCK = 3, 0.6, 3, 4096
-SKETCH, MARKS = 1 << 18, 1 << 25
-_WORD = re.compile(r"[^\W_]+")  # letters and digits
+INSTANCES, SKETCHES = 8, (18, 24)  # shingles of the corpus for a bucket of the sketch; log2 of the least and most buckets
+MARKS = (16, 28)  # log2 of the least and most bits over the candidates' ids
+WIDTH = 1 << 14  # buckets, or bytes of bits, that travel as one row
+CELLS = 2_000_000  # cells a task, about
+PIECE = 4_000_000  # code points that are read into words at a time, or one text
 _SOURCE = {"drafts": 0, "entries": 1}
-MOST = 1 << 15  # blocks of a cell
+MOST = 1 << 15  # blocks of a cell: 134 million texts
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-class _Words(dict):
-    """Word -> 64-bit hash; a worker's memo that starts anew when full."""
+@cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter or a digit."""
+    return np.fromiter((c.isalnum() for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
+_POWERS: list[np.ndarray] = []
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        return out
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd base modulo 2 ** 64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base, both = int(_K1), []
+        for x in (base, pow(base, -1, 1 << 64)):
+            factors = np.full(n + n // 4, x, np.uint64)
+            factors[0] = 1
+            both.append(np.cumprod(factors, dtype=np.uint64))
+        _POWERS[:] = both
+    return _POWERS[0][:n], _POWERS[1][:n]
 
-_words = _Words()
+
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, 64-bit hash) of every word, in order: polynomial hashes as differences of running sums."""
+    owner, hashes, at = [], [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") < PIECE):
+            size += len(texts[end] or "") + 1
+            end += 1
+        code = np.frombuffer("\n".join((t or "").replace("\n", " ").lower() for t in texts[at:end]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        flag = np.concatenate([[False], _letters()[code], [False]])
+        edge = np.flatnonzero(flag[1:] != flag[:-1])
+        first, last = edge[::2], edge[1::2]
+        power, inverse = _powers(len(code) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * power[: len(code)])])
+        hashes.append(_mix((total[last] - total[first]) * inverse[first] * _K1 + (last - first).astype(np.uint64)))
+        owner.append(at + np.searchsorted(np.flatnonzero(code == 10), first))
+        at = end
+    return (np.concatenate(owner), np.concatenate(hashes)) if owner else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,20 +97,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All shingles of a list of texts: (index of the text, 32-bit fingerprint), sorted by both, each once."""
-    words: list[str] = []
-    size = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            own = _WORD.findall(text.lower())
-            if len(own) >= SHINGLE:
-                words += own
-                size[i] = len(own)
-    if not words:
+    owner, h = _words(texts)
+    if len(h) < SHINGLE:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    owner = np.repeat(np.arange(len(texts)), size)
-    with np.errstate(over="ignore"):
-        s = _mix(h[:-2] * _K1 + ((h[1:-1] << np.uint64(21)) | (h[1:-1] >> np.uint64(43))) * _K2 + ((h[2:] << np.uint64(42)) | (h[2:] >> np.uint64(22))) * _K3)
+    s = _mix(h[:-2] * _K1 + ((h[1:-1] << np.uint64(21)) | (h[1:-1] >> np.uint64(43))) * _K2 + ((h[2:] << np.uint64(42)) | (h[2:] >> np.uint64(22))) * _K3)
     inside = owner[:-2] == owner[2:]
     both = np.unique((owner[:-2][inside].astype(np.uint64) << np.uint64(32)) | (s[inside] >> np.uint64(32)))
     return (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
@@ -85,23 +111,26 @@ def shingles(text: str | None) -> np.ndarray:
     return fingerprints([text])[1]
 
 
-def cells(src: str, owner: np.ndarray, sh: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The cells of a batch of texts: (index of the text, key, information of the shingle, the text's size, the shingle's place).
+def cells(src: str, owner: np.ndarray, sh: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The cells of a batch of texts: (index of the text, key, bound of the shingle's frequency, the text's size, the shingle's place).
 
     A text's rarest n - ceil(t * n) + SHARED shingles, each a cell of its own; equal frequencies are ordered by fingerprint.
     """
     if not len(sh):
         return owner, np.zeros(0, np.int64), np.zeros(0, np.int64), owner, owner
-    number = np.bincount(owner)[owner]  # how many shingles the text has
-    weight = info[sh & np.uint32(SKETCH - 1)]
-    order = np.lexsort((sh, -weight, owner))
-    new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))  # owners ascend in both orders
-    place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-    take = place < number - np.ceil(THRESHOLD * number - 1e-9) + SHARED
-    rare, place = order[take], place[take]
-    # the shingle, the two blocks (see _cell_rows), the source: like bits side by side pack well in the shuffle
-    key = sh[rare].astype(np.int64) + (_SOURCE[src] << 62)
-    return owner[rare], key, weight[rare], number[rare], place
+    number = np.bincount(owner)  # how many shingles a text has
+    bound = sketch[sh & np.uint32(len(sketch) - 1)]
+    order = np.lexsort((sh, bound, owner)) if len(number) > 1 << 16 else None
+    if order is None:  # the same order by one sort
+        key = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (bound.astype(np.uint64) << np.uint64(32)) | sh)
+        sh, bound = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint16)
+    else:
+        sh, bound = sh[order], bound[order]
+    first = np.cumsum(number) - number
+    place, number = np.arange(len(owner)) - first[owner], number[owner]  # owners ascend in both orders
+    take = (place < number - np.ceil(THRESHOLD * number - 1e-9) + SHARED) & (bound > 1)  # 1: in no other text
+    # the shingle, then room for two blocks (see _in_blocks), then the source
+    return owner[take], sh[take].astype(np.int64) + (_SOURCE[src] << 62), bound[take], number[take], place[take]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -145,88 +174,150 @@ def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch if len(first) == batch.num_rows else batch.take(pa.array(np.sort(first)))
 
 
-def _sketch(prints: DataFrame) -> np.ndarray:
-    """How many texts have a shingle in each of SKETCH buckets; the last entry counts the texts. Fixed size."""
+def _gather(parts: DataFrame, add: Callable[[np.ndarray, bytes], None], kind: type, done: Callable[[np.ndarray], np.ndarray]) -> list[bytes]:
+    """(part, data) rows of any number added up by part: each part's rows stream through one task. Fixed size."""
+
+    def run(batches):
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch["part"].to_pylist(), batch["data"].to_pylist()):
+                if part not in own:
+                    own[part] = np.zeros(WIDTH, kind)
+                add(own[part], data)
+        for part, x in own.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": pa.array([done(x).tobytes()], pa.binary())})
+
+    rows = parts.repartition("part").mapInArrow(run, "part int, data binary").toArrow()
+    return [x for _, x in sorted(zip(rows["part"].to_pylist(), rows["data"].to_pylist()))]
+
+
+def _log2(n: float, bounds: tuple[int, int]) -> int:
+    return int(np.clip(np.ceil(np.log2(max(1, n))), *bounds))
+
+
+def _sketch(prints: DataFrame, instances: int) -> np.ndarray:
+    """How many texts have a shingle in each bucket: exact up to 2^15, then in steps of 1/1024 of a power of two."""
+    size = 1 << _log2(instances / INSTANCES, SKETCHES)
 
     def run(batches):
-        own = np.zeros(SKETCH + 1, np.int64)
+        own = np.zeros(size, np.uint32)
         for batch in batches:
-            own[:SKETCH] += np.bincount(_unpack(batch)[1] & np.uint32(SKETCH - 1), minlength=SKETCH)
-            own[SKETCH] += batch.num_rows
-        part = np.array_split(own, 64)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "counts": pa.array([x.tobytes() for x in part], pa.binary())})
+            bucket, n = np.unique(_unpack(batch)[1] & np.uint32(size - 1), return_counts=True)
+            own[bucket] += n.astype(np.uint32)
+        for part in range(size // WIDTH):  # as byte planes: the upper three are nearly empty
+            planes = own[part * WIDTH : (part + 1) * WIDTH].view(np.uint8).reshape(-1, 4).T.tobytes()
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": pa.array([zlib.compress(planes, 1)], pa.binary())})
+
+    def add(own: np.ndarray, data: bytes) -> None:
+        own += np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
 
-    def add(key, parts):
-        total = np.sum([np.frombuffer(x, np.int64) for x in parts["counts"].to_pylist()], axis=0)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def done(n: np.ndarray) -> np.ndarray:
+        return np.where(n < 1 << 15, n, (1 << 15) + 1024 * (np.log2(np.maximum(n, 1)) - 15)).astype(np.uint16)
 
-    parts = prints.select("sh").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(SKETCH + 1, np.int64)
+    parts = _gather(prints.select("sh").mapInArrow(run, "part int, data binary"), add, np.uint64, done)
+    return np.frombuffer(b"".join(parts), np.uint16) if parts else np.zeros(size, np.uint16)
 
 
-def _cell_rows(prints: DataFrame, src: str, sketch: np.ndarray) -> DataFrame:
-    """(cell, id, size, place, side) of every text's cells; a hot cell's texts go to every pair of blocks with their own."""
-    n = max(1, int(sketch[SKETCH]))
-    shared = prints.sparkSession.sparkContext.broadcast((-1000 * np.log(np.clip(sketch[:SKETCH], 1, n) / n)).astype(np.int64))
+def _cell_rows(prints: DataFrame, src: str, sketch, hot: bool, tasks: int | None = None) -> DataFrame:
+    """(cell, id, info) of every text's cells whose bound is over BLOCK, or of the others packed for `tasks`; info: see _info."""
 
     def run(batch: pa.RecordBatch) -> dict:
         batch = _once(batch)
-        text, key, weight, number, place = cells(src, *_unpack(batch), shared.value)
-        ids = batch["id"].to_numpy(zero_copy_only=False)[text]
-        blocks = np.clip(np.ceil(n * np.exp(weight / -1000.0) / BLOCK), 1, MOST).astype(np.int64)
-        side = np.full(len(key), 2, np.int8)  # of two blocks in one task, 0 or 1: only unlike sides meet
-        if (blocks > 1).any():
-            row = np.repeat(np.arange(len(key)), blocks)
-            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            ids, hot, number, place = ids[row], blocks[row], number[row], place[row]
-            block = (ids.view(np.uint64) % hot.astype(np.uint64)).astype(np.int64)
-            side = np.where(block == other, 2, block > other).astype(np.int8)
-            meeting = (np.minimum(block, other) << 15) + np.maximum(block, other)
-            key = key[row] + (np.where(hot > 1, meeting, 0) << 32)
-        return {"cell": pa.array(key), "id": pa.array(ids), "size": pa.array(number.astype(np.int32)), "place": pa.array(place.astype(np.int32)), "side": pa.array(side)}
-
-    return by_batch(prints, run, "cell long, id long, size int, place int, side byte")
+        text, key, bound, number, place = cells(src, *_unpack(batch), sketch.value)
+        take = (bound > BLOCK) == hot
+        ids = batch["id"].to_numpy(zero_copy_only=False)[text[take]]
+        rows = key[take], ids, _info(number[take], place[take])
+        return _pack(*rows, tasks) if tasks else dict(zip(("cell", "id", "info"), map(pa.array, rows)))
 
+    return by_batch(prints, run, "task int, cells binary" if tasks else "cell long, id long, info long")
 
-def _meet(batches):
-    """Rows sorted by cell and id: every two different ids of a cell that can be partners, and in how many cells.
 
-    Partners of sizes m and n share at least t / (1 + t) * (m + n) shingles. At the k-th that they share, all but k - 1 of
-    these are still to come, so the first SHARED meetings count; of the others any may be dropped.
-    """
-    rest: list[np.ndarray] | None = None
+def _pack(cell: np.ndarray, ids: np.ndarray, info: np.ndarray, tasks: int) -> dict | None:
+    """One row a task: its cells in order, as byte planes of the steps between them, and each text's id once."""
+    if not len(cell):
+        return None
+    with np.errstate(over="ignore"):
+        task = (_mix(cell.view(np.uint64) * _K3) % np.uint64(tasks)).astype(np.int64)
+    order = np.lexsort((cell, task))
+    at, first = np.unique(task[order], return_index=True)
+    blobs = []
+    for mine in np.split(order, first[1:]):
+        own, text = np.unique(ids[mine], return_inverse=True)
+        step = np.diff(cell[mine].view(np.uint64), prepend=np.uint64(0))
+        columns = (own, step, text.astype(np.uint32), info[mine])
+        blobs.append(b"".join([np.array([len(own), len(mine)], np.int64).tobytes(), *(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in columns)]))
+    return {"task": pa.array(at.astype(np.int32)), "cells": pa.array(blobs, pa.binary())}
+
+
+def _packed(rows: DataFrame, tasks: int) -> DataFrame:
+    return by_batch(rows, lambda b: _pack(*(b[c].to_numpy(zero_copy_only=False) for c in ("cell", "id", "info")), tasks), "task int, cells binary")
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    texts, n = np.frombuffer(blob, np.int64, 2)
+    out, at = [], 16
+    for size, kind in ((texts, np.int64), (n, np.uint64), (n, np.uint32), (n, np.int64)):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, size * width, at).reshape(width, -1).T).view(kind)[:, 0])
+        at += size * width
+    return np.cumsum(out[1], dtype=np.uint64).view(np.int64), out[0][out[2]], out[3]
+
+
+def _info(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The text's size, the shingle's place, and the side: of two blocks in one task 0 or 1; 2 where all texts meet."""
+    return (size.astype(np.int64) << 32) + (place.astype(np.int64) << 2) + 2
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """The rows of cells that may be hot; a hot cell's texts go to every pair of blocks with their own."""
+    number = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hot = number.select("cell", F.least(F.ceil(F.col("n") / BLOCK), F.lit(MOST)).cast("long").alias("blocks"))
+    own = F.pmod("id", "blocks")
+    copies = rows.join(hot, "cell", "left").withColumn("own", own).withColumn("other", F.explode(F.coalesce(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.array(F.lit(None).cast("long")))))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") > F.col("other"), 1).otherwise(0)
+    meeting = F.shiftleft(F.least("own", "other"), 15) + F.greatest("own", "other")
+    split = F.col("other").isNotNull()
+    return copies.select(F.when(split, F.col("cell") + F.shiftleft(meeting, 32)).otherwise(F.col("cell")).alias("cell"), "id", F.when(split, F.col("info") - 2 + side).otherwise(F.col("info")).alias("info"))
+
+
+def _meet(batches):
+    """A task's cells, about CELLS: every two different ids of a cell that can be partners, and in how many cells."""
+    own: dict[int, list] = {}
     for batch in batches:
-        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "id", "size", "place", "side")]
-        if rest is not None:
-            rows = [np.concatenate(x) for x in zip(rest, rows)]
-        if not len(rows[0]):
-            continue
-        cell, ids = rows[:2]
+        for task, blob in zip(batch["task"].to_pylist(), batch["cells"].to_pylist()):
+            own.setdefault(task, []).append(blob)
+    while own:
+        cell, ids, info = (np.concatenate(x) for x in zip(*map(_unpacked, own.popitem()[1])))
+        order = np.lexsort((ids, cell))
+        cell, ids, info = cell[order], ids[order], info[order]
         new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (ids[1:] != ids[:-1])])  # copies of a class meet as one
-        rows = [x[new] for x in rows]
-        last = np.searchsorted(rows[0], rows[0][-1], "left")  # the last cell may go on in the next batch
-        rest = [x[last:].copy() for x in rows]
-        yield from _pairs(*(x[:last] for x in rows))
-    if rest is not None:
-        yield from _pairs(*rest)
+        yield from _pairs(cell[new], ids[new], info[new])
 
 
-def _pairs(cell: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.ndarray, side: np.ndarray):
+def _pairs(cell: np.ndarray, ids: np.ndarray, info: np.ndarray):
+    """Rows sorted by cell and id.
+
+    Partners of sizes m and n share at least t / (1 + t) * (m + n) shingles. At the k-th that they share, all but k - 1 of
+    these are still to come, so the first SHARED meetings count; of the others any may be dropped.
+    """
     found, rows = [], 0
-    for step in range(1, len(cell)):  # partners `step` rows on, as long as any cell is that long
-        same = np.flatnonzero(cell[step:] == cell[:-step])
-        if not len(same):
-            break
-        other = same + step
-        least = np.ceil(THRESHOLD / (1 + THRESHOLD) * (size[same].astype(np.int64) + size[other]) - 1e-6)  # what partners share
-        left = np.minimum(size[same] - place[same], size[other] - place[other])  # what is still to come
-        take = (left >= least - (SHARED - 1)) & ((side[same] != side[other]) | (side[same] == 2))
-        # partners that must share fewer than SHARED meet once at least, and that is enough
-        found.append((ids[same[take]], ids[other[take]], np.where(least[take] < SHARED, SHARED, 1)))
-        rows += len(found[-1][0])
-        if rows > 500_000:
-            yield _batch(found)
-            found, rows = [], 0
+    size, place, side = info >> 32, (info & 0xFFFFFFFF) >> 2, info & 3
+    same, step = np.arange(len(cell)), 0
+    while len(same):
+        step += 1  # partners `step` rows on, as long as any cell is that long
+        same = same[: np.searchsorted(same, len(cell) - step)]
+        same = same[cell[same + step] == cell[same]]
+        for part in np.array_split(same, max(1, len(same) // 500_000)):
+            other = part + step
+            least = np.ceil(THRESHOLD / (1 + THRESHOLD) * (size[part] + size[other]) - 1e-6)  # what partners share
+            left = np.minimum(size[part] - place[part], size[other] - place[other])  # what is still to come
+            take = (left >= least - (SHARED - 1)) & ((side[part] != side[other]) | (side[part] == 2))
+            # partners that must share fewer than SHARED meet once at least, and that is enough
+            found.append((ids[part[take]], ids[other[take]], np.where(least[take] < SHARED, SHARED, 1)))
+            rows += len(found[-1][0])
+            if rows > 1_000_000:
+                yield _batch(found)
+                found, rows = [], 0
     if rows:
         yield _batch(found)
 
@@ -239,49 +330,61 @@ def _batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a[new]), "b": pa.array(b[new]), "n": pa.array(np.add.reduceat(n[order], new), pa.int64())})
 
 
-def _marks(found: DataFrame) -> bytes:
-    """A bitmap of fixed size over the hashed ids of all candidates, for leaving other texts out before a shuffle."""
+def _marks(found: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap over the hashed ids of all candidates, for leaving other texts out before a shuffle."""
 
     def run(batches):
-        bits = np.zeros(MARKS >> 3, np.uint8)
         for batch in batches:
-            for c in ("a", "b"):
-                at = _mark(batch[c].to_numpy(zero_copy_only=False))
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "bits": pa.array([x.tobytes() for x in np.array_split(bits, 64)], pa.binary())})
+            at = np.unique(np.concatenate([_mark(batch[c].to_numpy(zero_copy_only=False), bits) for c in "ab"]))
+            part, first = np.unique(at // (8 * WIDTH), return_index=True)
+            rows = [x.tobytes() for x in np.split((at % (8 * WIDTH)).astype(np.uint32), first[1:])]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part.astype(np.int32)), "data": pa.array(rows, pa.binary())})
 
-    def both(key, parts):
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts["bits"].to_pylist()])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+    def add(own: np.ndarray, data: bytes) -> None:
+        at = np.frombuffer(data, np.uint32)
+        np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def run_parts(batches):  # empty parts too
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"part": batch["id"].cast(pa.int32()), "data": pa.array([b""] * batch.num_rows, pa.binary())})
 
-    parts = found.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(both, "part int, bits binary").collect()
-    return b"".join(r["bits"] for r in sorted(parts, key=lambda r: r["part"])) or bytes(MARKS >> 3)
+    every = found.sparkSession.range(max(1, (1 << bits) // (8 * WIDTH)), numPartitions=1).mapInArrow(run_parts, "part int, data binary")
+    parts = _gather(found.mapInArrow(run, "part int, data binary").unionByName(every), add, np.uint8, lambda x: x)
+    return np.frombuffer(b"".join(parts), np.uint8)
 
 
-def _mark(ids: np.ndarray) -> np.ndarray:
+def _mark(ids: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (_mix(ids.view(np.uint64) * _K1) % np.uint64(MARKS)).astype(np.int64)
+        return (_mix(ids.view(np.uint64) * _K1) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def class_pairs(tables: dict[str, DataFrame]) -> DataFrame:
     """(a, b): every two classes of one source whose similarity reaches the threshold, each once, a < b."""
+    prints = {src: stash(_prints(texts)) for src, texts in tables.items()}  # every text is read into words once
+    instances = {src: (p.agg(F.sum(F.octet_length("sh"))).first()[0] or 0) // 4 for src, p in prints.items()}
+    spark = next(iter(prints.values())).sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((1 - THRESHOLD) * sum(instances.values())) // CELLS)
     rows, every = None, None
-    for src, texts in tables.items():
-        prints = stash(_prints(texts))  # every text is read into words once
-        own = _cell_rows(prints, src, _sketch(prints))
-        rows = own if rows is None else rows.unionByName(own)
-        every = prints if every is None else every.unionByName(prints)
-    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for src, own in prints.items():
+        sketch = _sketch(own, instances[src])
+        shared = spark.sparkContext.broadcast(sketch)
+        parts = [_cell_rows(own, src, shared, False, tasks)]
+        if (sketch > BLOCK).any():  # else no cell has so many texts
+            parts.append(_packed(_in_blocks(stash(_cell_rows(own, src, shared, True))), tasks))
+        for part in parts:
+            rows = part if rows is None else rows.unionByName(part)
+        every = own if every is None else every.unionByName(own)
     # ids of a cell come in ascending order, so a < b
-    met = rows.repartition(shuffles, "cell").sortWithinPartitions("cell", "id").mapInArrow(_meet, "a long, b long, n long")
+    met = rows.repartition(tasks, "task").mapInArrow(_meet, "a long, b long, n long")
     found = stash(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"))
     needed = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    marks = every.sparkSession.sparkContext.broadcast(_marks(found))
+    bits = _log2(16 * found.count(), MARKS)
+    marks = spark.sparkContext.broadcast(_marks(found, bits))
 
     def marked(batch: pa.RecordBatch) -> dict:
         batch = _once(batch)
-        at, bits = _mark(batch["id"].to_numpy(zero_copy_only=False)), np.frombuffer(marks.value, np.uint8)
-        take = pa.array(np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1))
+        at = _mark(batch["id"].to_numpy(zero_copy_only=False), bits)
+        take = pa.array(np.flatnonzero(marks.value[at >> 3] >> (at & 7).astype(np.uint8) & 1))
         return {"id": batch["id"].take(take), "sh": batch["sh"].take(take)}
 
     # one set per class; copies collapse before the join

@@ -207,6 +207,15 @@ def test_long_near_duplicates(spark):
     assert {(r.key_a, r.key_b) for r in neardup.similar_pairs(drafts, entries).collect()} == want
 
 
+def test_words_are_told_apart():
+    import re
+
+    texts = ["Ab_c Dé12 ß ΑΣ x\ny z 数据 \U0001f642k", None, "", "ab AB aB ba", " x" * 9_000, "l'été ⅷ ² ½ a\x00b"]
+    owner, hashes = neardup._words(texts)
+    want = [(i, w) for i, t in enumerate(texts) for w in re.findall(r"[^\W_]+", (t or "").lower())]
+    assert owner.tolist() == [i for i, _ in want] and len(set(hashes.tolist())) == len({w for _, w in want}) == len({(w, h) for (_, w), h in zip(want, hashes.tolist())})
+
+
 def test_hot_cells_split_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     rng = random.Random(4)
