@@ -50,14 +50,13 @@ _VALUE = r"[^\s\"'`<>;,&()\[\]{}]"
 _ASSIGN = re.compile(
     r"(?P<k>[\"']?)\]?(?:\s*(?:=>|:=|=|:)\s*|\s+value\s*=\s*|\s*\{\s*default\s*=\s*)(?:(?P<q>[\"'`]{1,3})(?P<v>[^\"'`\n]+)|(?P<w>" + _VALUE + r"+))",
 )
-#: An anchor, the grammar that must hold at its start, and how strict the value check is (1: any live value, 2: a password).
+#: An anchor, the grammar that must hold at its start, and how the value is checked: any live value (1, 2), no plain word (3),
+#: decodes from base64 (4), a manifest's data (5), random characters (6).
 _PHRASES = (
     ("password", r"password (?:is |was )?[\"']?(?P<v>" + _VALUE + r"{6,})", 3),
     ("passphrase", r"passphrase (?:is |was )?[\"']?(?P<v>" + _VALUE + r"{6,})", 3),
     ("secret", r"secret (?:is |was )[\"']?(?P<v>" + _VALUE + r"{6,})", 3),
-    ("credential", r"credential [\"']?(?P<v>" + _VALUE + r"{6,})[\"']? (?:was )?rejected", 1),
-    ("token", r"token [\"']?(?P<v>" + _VALUE + r"{6,})[\"']? (?:was )?rejected", 1),
-    ("key", r"key [\"']?(?P<v>" + _VALUE + r"{6,})[\"']? (?:was )?rejected", 1),
+    *((w, w + r" [\"']?(?P<v>[\w+/=-]{20,})(?![\w+/=-])", 6) for w in ("credential", "token", "key", "secret", "value", "about")),
     ("bearer ", r"bearer (?P<v>[\w.~+/=-]{8,})", 1),
     ("basic ", r"basic (?P<v>[A-Za-z0-9+/_-]{8,}={0,2})", 4),
     ("-u", r"(?<![\w-])-u ?[\"']?[\w.-]+:(?P<v>[^\s\"']{6,})", 2),
@@ -66,8 +65,6 @@ _PHRASES = (
     ("cookie:", r"cookie:[^\n]*?\b(?:session|sessionid|sid|auth|token|jwt)=(?P<v>[^\s;\"']{12,})", 1),
     ("kind: secret", r"kind: secret\b(?:\n(?!---)[^\n]*)*?\n(?:data|stringdata):(?:\n[ \t]+[\w.-]+: *[^\n]*)*", 5),
     ("\n  ", r"\n {2,}[\w.-]+: *[\"']?(?P<v>[A-Za-z0-9+/]{12,}={0,2})[\"']?(?=\s|$)", 4),
-    ("unsure about ", r"unsure about [\"']?(?P<v>" + _VALUE + r"{8,})", 1),
-    ("value ", r"value [\"']?(?P<v>" + _VALUE + r"{8,})[\"']? looked\b", 1),
 )
 _DATA_LINE = re.compile(r"\n[ \t]+[\w.-]+: *[\"']?(?P<v>[A-Za-z0-9+/_-]{6,}={0,2})[\"']?(?=\n|$)")
 _PIECE = re.compile(r"[\"']\s*(?:\+|\.|\\\n|&)\s*\n?\s*[\"'](?P<v>[^\"'\n]+)")
@@ -90,6 +87,12 @@ def _live(value: str, strict: int) -> bool:
     return True
 
 
+def _random(value: str) -> bool:
+    """Whether a long value is random characters: digits, small and capital letters that change places often."""
+    kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 for c in value if c.isalnum()]
+    return kinds.count(0) >= 2 and len(kinds) - kinds.count(0) >= 3 and sum(a != b for a, b in zip(kinds, kinds[1:])) * 5 >= len(kinds)
+
+
 def _decodes(value: str) -> bool:
     """Base64 that decodes to printable text (as of Basic headers and secret manifests)."""
     try:
@@ -138,6 +141,24 @@ def _grammars() -> Automaton:
     return Automaton(GRAMMARS)
 
 
+#: Lines of a key block: base64 in full or closing lines, with the quotes, escapes and marks of the code around it; headers; blanks.
+_LINE_END = r"(?:[\s\"'`,;+>#*|&]|\\[nr])*"
+_BODY = re.compile(rf"{_LINE_END}(?:(?:[A-Za-z0-9+/]{{16,}}={{0,2}}|[A-Za-z0-9+/]{{2,}}={{1,2}}|[A-Z][A-Za-z]+-[A-Za-z]+: [^\n\\]*)(?=[\s\"'`,;+\\]|-----|$){_LINE_END})*")
+_TAIL = re.compile(r"[A-Za-z0-9+/]*=*(?:[\s\"'`,;+>#*|&]|\\[nr])*(-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?")
+
+
+def _block(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """A key block: to its END line, or without one to the last line of base64; other text stays out. A header alone is none."""
+    head = text.index("-----", start + 10) + 5
+    body = _BODY.match(text, head, end)
+    if not re.search(r"[A-Za-z0-9+/]{16}", body[0]):
+        return None
+    tail = _TAIL.match(text, body.end(), end)  # a short last line counts only before END
+    if tail[1]:
+        return start, tail.end(1)
+    return start, body.end() - (len(body[0]) - len(re.sub(rf"{_LINE_END}\Z", "", body[0])))
+
+
 def _formatted(text: str, start: int) -> tuple[int, int] | None:
     """The span of a token, a key block or a connection string's password that starts at an anchor."""
     m = _grammars().match(text, start)
@@ -145,7 +166,7 @@ def _formatted(text: str, start: int) -> tuple[int, int] | None:
         return None
     end, name = m
     if name == "armour":
-        return start, start + len(text[start:end].rstrip("\n '\"`"))
+        return _block(text, start, end)
     if name == "connection":
         a, b = text.index(":", start + 3) + 1, end - 1
         return (a, b) if _HOST.match(text, end) and _live(text[a:b], 2) else None
@@ -192,7 +213,7 @@ def spans(text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[
                     a, b = m.span("v")
                     while b > a and text[b - 1] in ".,:;":
                         b -= 1
-                    if _live(text[a:b], strict):
+                    if _live(text[a:b], strict) and (strict != 6 or _random(text[a:b])):
                         found.add((a, b))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
