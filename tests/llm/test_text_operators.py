@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from sessionloom.llm import conversations, leaks, mojibake, neardup, pii, secrets, splitting, tokens
@@ -344,8 +345,22 @@ def test_mojibake(spark):
     assert mojibake.garbled(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("clean", "encoding", "decoding"), [("Größe außerdem natürlich zurück für Übung", "utf-8", "web"), ("Это также ответ и ошибка, примерно число строк таблицы", "cp1251", "latin-1"), ("Это также ответ и ошибка, примерно число строк таблицы", "utf-8", "cp1251")])
+def test_frequent_garbling_does_not_come_to_look_normal(spark, clean, encoding, decoding):
+    rng = random.Random(14)
+
+    def text(i):
+        words = clean.split()
+        return f"line {i}\n" + " ".join(rng.choices(words, k=12))
+
+    docs = [(i, text(i)) for i in range(600)]
+    bad = [(1000 + i, garble(text(i), encoding, decoding)) for i in range(300)]  # a third, garbled alike
+    got = mojibake.garbled(spark.createDataFrame(docs + bad, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {d for d, t in bad if not t.isascii()}
+
+
 def test_runs_are_maximal_segments():
-    model = mojibake.Model(())
+    model = mojibake.Model(*np.zeros((3, 0), np.int64))
     line = "ok " * 50 + "ÃƒÂ©Ã©" + " ok" * 50
     (a, b), = mojibake.runs(line, model)
     assert "ÃƒÂ©Ã©" in line[a:b] and b - a < 20
