@@ -16,13 +16,18 @@ def _on(fn: Callable[..., DataFrame], *names: str, **options) -> Query:
     return lambda spark, root: fn(*(table(spark, root, n) for n in names), **options)
 
 
+def _keyed(fn: Callable[..., DataFrame], *names: str) -> Query:
+    """With the key of the surrogates, a setting of the session (the default is for tests)."""
+    return lambda spark, root: fn(*(table(spark, root, n) for n in names), key=spark.conf.get("sessionloom.surrogate.key", "no secret").encode())
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _on(conversations.broken, "session_lines"),
         "p1_conversations": _on(conversations.turns, "session_lines"),
-        "p2_found": _on(pii.found, "drafts", "tokenised_entries"),
+        "p2_found": _keyed(pii.found, "drafts", "tokenised_entries"),
         "p2_redacted": _on(pii.redacted, "drafts", "tokenised_entries"),
-        "p2_surrogates": _on(pii.redacted, "drafts", "tokenised_entries", key=b"surrogate-key"),
+        "p2_surrogates": _keyed(pii.redacted, "drafts", "tokenised_entries"),
         "p4_found": _on(secrets.found, "drafts", "tokenised_entries"),
         "p4_redacted": _on(secrets.redacted, "drafts", "tokenised_entries"),
         "p5_found": _on(splitting.oversized, "session_lines", "prepared_sessions"),
