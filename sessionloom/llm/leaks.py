@@ -175,9 +175,10 @@ def passages(documents: DataFrame, items: DataFrame, window: int = WINDOW, bands
     source = spread(documents.select("doc_id", "text").where(F.col("text").isNotNull()))
     out = None
     for block in _blocks(items):
+        shared = documents.sparkSession.sparkContext.broadcast(block)
 
-        def run(batch: pa.RecordBatch, block=block) -> dict | None:
-            index = _index(block, window, bands, edits)
+        def run(batch: pa.RecordBatch, shared=shared) -> dict | None:
+            index = _index(shared.value, window, bands, edits)
             rows = [(d, *hit) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for hit in index.hits(t)]
             return dict(zip(("doc_id", "item_id", "word_no", "edits"), map(pa.array, zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32())))) if rows else None
 
@@ -188,4 +189,4 @@ def passages(documents: DataFrame, items: DataFrame, window: int = WINDOW, bands
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): at least 13 consecutive words of the item stand in the document."""
-    return passages(documents, items, bands=1).select("doc_id", "item_id").distinct()
+    return passages(documents, items).select("doc_id", "item_id").distinct()

@@ -7,8 +7,8 @@ the right where a boundary of the re-split window falls on a boundary of the rig
 holds. Inside one long pre-split run (no boundary within reach) the tokens themselves are joined the same way: two
 token lists agree if the tokens that meet at both ends of the re-encoded window are the ones already there.
 
-Results on odd input: null and empty texts give an empty list; no normalisation, no special tokens. doc_id is a key:
-repeated rows of a text encoded in one piece stay repeated, those of a text in leaves come out once.
+Results on odd input: null and empty texts give an empty list; no normalisation, no special tokens. doc_id is a key of
+the table: should a row be repeated all the same, its ids are, whatever the text's length.
 """
 
 from __future__ import annotations
@@ -109,6 +109,7 @@ def encoder(path: str) -> Encoder:
 
 
 _IDS = pa.list_(pa.int32())
+_KEY = ("doc_id", "hashed", "copies")
 
 
 def encode(documents: DataFrame, folder: str = FOLDER, name: str = "byte_bpe_50k.tiktoken", leaf: int = LEAF) -> DataFrame:
@@ -125,15 +126,15 @@ def encode(documents: DataFrame, folder: str = FOLDER, name: str = "byte_bpe_50k
 
     def leaves(batch: pa.RecordBatch) -> dict | None:
         rows = []
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            rows += [(doc, at, text[at : at + leaf]) for at in range(0, len(text), leaf)]
-        return dict(zip(("doc_id", "at", "text"), map(pa.array, zip(*rows), (pa.int64(), pa.int64(), pa.string())))) if rows else None
+        for doc, hashed, copies, text in zip(*(batch[c].to_pylist() for c in (*_KEY, "text"))):
+            rows += [(doc, hashed, copies, at, text[at : at + leaf]) for at in range(0, len(text), leaf)]
+        return dict(zip((*_KEY, "at", "text"), map(pa.array, zip(*rows), (*(pa.int64(),) * 4, pa.string())))) if rows else None
 
     def encoded(batch: pa.RecordBatch) -> dict:
         e = encoder(path)
         runs = [e.leaf(t) for t in batch["text"].to_pylist()]
         return {
-            "doc_id": batch["doc_id"], "at": batch["at"], "text": batch["text"],
+            **{c: batch[c] for c in (*_KEY, "at", "text")},
             "ends": pa.array([[end for end, _ in r] for r in runs], pa.list_(pa.int64())),
             "ids": pa.array([[ids for _, ids in r] for r in runs], pa.list_(_IDS)),
         }
@@ -148,11 +149,14 @@ def encode(documents: DataFrame, folder: str = FOLDER, name: str = "byte_bpe_50k
                 (a, x), (b, y) = parts[k], parts[k + 1]
                 level.append((a + b, e.seam(x, [(end + len(a), ids) for end, ids in y], a + b, len(a))))
             parts = level + parts[len(parts) - len(parts) % 2 :]
-        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([[t for _, ids in parts[0][1] for t in ids]], _IDS)})
+        copies = key[2].as_py()
+        return pa.table({"doc_id": pa.array([key[0].as_py()] * copies, pa.int64()), "ids": pa.array([[t for _, ids in parts[0][1] for t in ids]] * copies, _IDS)})
 
     source = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     is_long = F.coalesce(F.length("text") > leaf, F.lit(False))
     short = by_batch(source.where(~is_long), whole, "doc_id long, ids array<int>")
-    pieces = by_batch(source.where(is_long).dropDuplicates(["doc_id"]), leaves, "doc_id long, at long, text string")
-    parts = by_batch(pieces.repartition("doc_id", "at"), encoded, "doc_id long, at long, text string, ends array<long>, ids array<array<int>>")
-    return short.unionByName(parts.groupBy("doc_id").applyInArrow(joined, "doc_id long, ids array<int>"))
+    longs = source.where(is_long).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("hashed", F.xxhash64("text"))
+    columns = "doc_id long, hashed long, copies long, at long, text string"
+    pieces = by_batch(longs.select(*_KEY, "text"), leaves, columns)
+    parts = by_batch(pieces.repartition("doc_id", "at"), encoded, columns + ", ends array<long>, ids array<array<int>>")
+    return short.unionByName(parts.groupBy(*_KEY).applyInArrow(joined, "doc_id long, ids array<int>"))

@@ -260,6 +260,7 @@ def test_tokens(spark):
     assert {r.doc_id: r.ids for r in tokens.encode(df).collect()} == want
     assert {r.doc_id: r.ids for r in tokens.encode(df, leaf=700).collect()} == want  # leaves of long texts in several tasks
     assert tokens.encode(df.limit(0)).count() == 0
+    assert tokens.encode(df.union(df)).count() == tokens.encode(df.union(df), leaf=700).count() == 2 * len(texts)
 
 
 def test_leaks(spark):
