@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SESSION_CONF = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
@@ -47,9 +47,11 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
+    """The shared folder of spark.checkpoint.dir; without the setting a temporary one, but only where all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not where and (context.master != "local" and not context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), f"loom-{uuid.uuid4().hex}"))
     return where or context._jsc.sc().getCheckpointDir().get()
@@ -81,6 +83,22 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+BLOCK = 8192
+
+
+def numbered_in(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Adds `name`: 0, 1, ... by `order` (whole numbers, each once) inside each group.
+
+    Rows are numbered in blocks of BLOCK values of `order` and offset by the blocks before, so a group of any share of
+    the rows is spread over many tasks.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_block").orderBy(order)) - 1)
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(group, "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return rows.join(blocks.drop("_n"), [group, "_block"]).withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_block", "_at", "_before")
+
+
 UNICODE_SPACE = r"\p{IsWhite_Space}"
 
 

@@ -57,10 +57,11 @@ def events(lines: DataFrame) -> DataFrame:
 def with_call_names(rows: DataFrame) -> DataFrame:
     """Adds call_name: of the latest earlier call with the same id, else unknown (an as-of join as a window).
 
-    The window is partitioned by session and call id, so a long session does not gather in one task.
+    The window is partitioned by session and call id, and rows without one by line, so a long session does not gather in
+    one task.
     """
     named = F.when(F.col("kind").isin(*CALLS) & F.col("call_id").isNotNull(), F.col("name"))
-    before = Window.partitionBy("session_id", F.coalesce("call_id", F.lit(""))).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("session_id", F.coalesce("call_id", F.concat(F.lit("\0"), F.col("line_no").cast("string")))).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("call_name", F.coalesce(F.last(named, ignorenulls=True).over(before), F.lit("unknown")))
 
 

@@ -14,6 +14,8 @@ from sessionloom.plans import oracles
 from sessionloom.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The categories of the drafts' contract (fixed values).
+CATEGORIES = ("bikeshedding", "comedy", "dark-comedy", "existential", "meta", "other", "rage", "role-reversal", "spectacular-failure", "wholesome")
 
 
 def _on(fn: Callable[..., DataFrame], *names: str) -> Query:
@@ -28,6 +30,11 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["session_id", "line_no"])
 
 
+def _arrived(df: DataFrame) -> DataFrame:
+    """Each line once, at its first arrival."""
+    return df.groupBy("session_id", "line_no").agg(*(F.min(c).alias(c) for c in ("ingested_at", "project_name", "type")))
+
+
 # --- sources and scalars ------------------------------------------------------------------------------------------------
 def stats_bytes(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
@@ -130,7 +137,7 @@ def sequential_leaks(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
     order = _drafts(drafts).select("draft_id", F.unix_micros("extracted_at").alias("seq"))
     learnt = registry.draft_literals(drafts, tokenised).join(order, "draft_id").select("seq", "literal")
     bodies = _drafts(tokenised).join(order, "draft_id").select("draft_id", "seq", "body")
-    return registry.sequential_hits(drafts, learnt, bodies)
+    return registry.sequential_hits(learnt, bodies)
 
 
 def validate_counts(drafts: DataFrame, tokenised: DataFrame, published: DataFrame) -> DataFrame:
@@ -149,10 +156,10 @@ def redact_default(drafts: DataFrame) -> DataFrame:
 
 
 def draft_contract(drafts: DataFrame, prepared: DataFrame) -> DataFrame:
-    """The drafts' contract as predicates: title length, tag count, first quoted line in the session's transcript."""
+    """The drafts' contract as predicates: title length, tag count, one of ten categories, the whole quote in the transcript."""
     one = prepared.select("session_id", "transcript").dropDuplicates(["session_id"])
     joined = _drafts(drafts).join(one, "session_id", "left")
-    return joined.select("draft_id", (F.length("title") <= 80).alias("title_ok"), F.size("tags").between(2, 5).alias("tags_ok"), F.coalesce(F.contains("transcript", F.substring_index("quote", "\n", 1)), F.lit(False)).alias("quoted"))
+    return joined.select("draft_id", (F.length("title") <= 80).alias("title_ok"), F.size("tags").between(2, 5).alias("tags_ok"), F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)).alias("category_ok"), F.coalesce((utrim(F.col("quote")) != "") & F.contains("transcript", "quote"), F.lit(False)).alias("quoted"))
 
 
 def source_lookup(published: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -211,26 +218,20 @@ def json_candidates(drafts: DataFrame) -> DataFrame:
 
 
 # --- mining ---------------------------------------------------------------------------------------------------------------
-def _turns(lines: DataFrame) -> DataFrame:
-    """Spoken messages of the event dialect as numbered turns."""
-    rows = transcript.events(lines).where("kind = 'message' and role in ('user', 'assistant')").where(utrim(F.col("text")) != "")
-    return rows.select("session_id", (F.row_number().over(Window.partitionBy("session_id").orderBy("line_no")) - 1).cast("long").alias("turn_no"), "role", "text")
-
-
 def _scored(lines: DataFrame) -> DataFrame:
-    return mining.prefilter(mining.window_stats(_turns(lines))).select("session_id", "start_turn", "end_turn", (F.col("chars") % 100).alias("score"))
+    return mining.prefilter(mining.window_stats(mining.turns(lines))).select("session_id", "start_turn", "end_turn", (F.col("chars") % 100).alias("score"))
 
 
 def msg_windows(lines: DataFrame) -> DataFrame:
-    return mining.windows(_turns(lines)).select("session_id", "start_turn", "turn_no", "role")
+    return mining.windows(mining.turns(lines)).select("session_id", "start_turn", "turn_no", "role")
 
 
 def window_prefilter(lines: DataFrame) -> DataFrame:
-    return mining.prefilter(mining.window_stats(_turns(lines))).select("session_id", "start_turn", "end_turn", "n", "chars")
+    return mining.prefilter(mining.window_stats(mining.turns(lines))).select("session_id", "start_turn", "end_turn", "n", "chars")
 
 
 def score_filter(lines: DataFrame) -> DataFrame:
-    stats = mining.window_stats(_turns(lines)).withColumns({"a": F.col("users") / F.col("n"), "b": F.col("long_turns") / F.col("n")})
+    stats = mining.window_stats(mining.turns(lines)).withColumns({"a": F.col("users") / F.col("n"), "b": F.col("long_turns") / F.col("n")})
     return mining.any_score(stats, ["a", "b"], 0.6).select("session_id", "start_turn")
 
 
@@ -243,7 +244,7 @@ def overlap_greedy(lines: DataFrame) -> DataFrame:
 
 
 def session_cap(lines: DataFrame) -> DataFrame:
-    return mining.capped(_scored(lines), _turns(lines)).select("session_id", "start_turn", "place")
+    return mining.capped(_scored(lines), mining.turns(lines)).select("session_id", "start_turn", "place")
 
 
 def version_rescore(drafts: DataFrame) -> DataFrame:
@@ -253,7 +254,7 @@ def version_rescore(drafts: DataFrame) -> DataFrame:
 
 
 def activity(lines: DataFrame) -> DataFrame:
-    return arrivals.activity(_lines(lines)).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "project_name", "type", "lines")
+    return arrivals.activity(_arrived(lines)).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "project_name", "type", "lines")
 
 
 def queries() -> dict[str, Query]:
