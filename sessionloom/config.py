@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 #: Providers by accepted name, those with an effort level, and effort levels by accepted name (fixed values).
 PROVIDERS = {"claude": "claude-code", "claude-code": "claude-code", "codex": "codex", "gemini": "gemini", "opencode": "opencode", "pi": "pi"}
@@ -69,17 +69,18 @@ class EngineConfig:
     tokeniser: object = None
     version: str = "0.1.0"
     udf_partitions: int = 2
-    sequential: bool = False
-    extra: dict = field(default_factory=dict)
+    sequential: bool = True  # a literal counts from the draft on that taught it, in the order of publishing; else at once
+    output: str | None = None
 
     @property
     def entries(self) -> str:
-        return os.path.join(self.root, "entries")
+        return self.output or os.path.join(self.root, "entries")
 
     @property
     def state(self) -> str:
-        return os.path.join(self.root, "state.json")
+        """A table (operators/tables.py), as is the registry."""
+        return os.path.join(self.root, "state")
 
     @property
     def registry(self) -> str:
-        return os.path.join(self.root, "registry.json")
+        return os.path.join(self.root, "registry")

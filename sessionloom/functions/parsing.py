@@ -126,3 +126,27 @@ def parse_drafts(outputs: DataFrame, column: str, keep: list[str]) -> DataFrame:
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", ok boolean, error string, drafts array<struct<title:string,category:string,tags:array<string>,quote:string,why:string>>"
     return by_batch(outputs.select(*dict.fromkeys([*keep, column])), run, schema)
+
+
+def parse_tokenised(outputs: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """One row per output: kept columns, ok, error, and the fields of the entry."""
+    kinds = dict(outputs.dtypes)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        rows = [(error, value or {}) for value, error in map(tokenised, batch[column].to_pylist())]
+        take = lambda k, kind=pa.string(): pa.array([v.get(k) for _, v in rows], kind)
+        return {k: batch[k] for k in keep} | {"ok": pa.array([e is None for e, _ in rows]), "error": pa.array([e for e, _ in rows], pa.string()), "title": take("title"), "category": take("category"), "tags": take("tags", pa.list_(pa.string())), "body": take("body"), "needs_review": take("needs_review", pa.bool_()), "review_reason": take("review_reason")}
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", ok boolean, error string, title string, category string, tags array<string>, body string, needs_review boolean, review_reason string"
+    return by_batch(outputs.select(*dict.fromkeys([*keep, column])), run, schema)
+
+
+def event_texts(outputs: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """One row per event stream: kept columns, ok, error, text."""
+    kinds = dict(outputs.dtypes)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        rows = [event_text(t or "") for t in batch[column].to_pylist()]
+        return {k: batch[k] for k in keep} | {"ok": pa.array([e is None for _, e in rows]), "error": pa.array([e for _, e in rows], pa.string()), "text": pa.array([t for t, _ in rows], pa.string())}
+
+    return by_batch(outputs.select(*dict.fromkeys([*keep, column])), run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", ok boolean, error string, text string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from sessionloom.frames import stash
 from sessionloom.operators.state import atomic_write_exclusive
 
 #: The front matter's fields in their order (fixed values: the order is the contract).
-FIELDS = ("id", "title", "project", "category", "source_type", "session_id", "message_range", "extracted_at", "needs_manual_review", "review_reason", "tags", "entities")
-OPTIONAL = ("session_id", "message_range", "review_reason")
+FIELDS = ("id", "title", "project", "category", "source_type", "session_id", "message_range", "source_model", "extracted_at", "needs_manual_review", "review_reason", "tags", "entities")
+OPTIONAL = ("session_id", "message_range", "source_model", "review_reason")
 RETRIES = 1024
 
 
@@ -48,7 +50,7 @@ def front_matter(entries: DataFrame) -> DataFrame:
         F.when(F.col("source.message_range").isNotNull(), F.array("source.message_range.start", "source.message_range.end")).alias("message_range"),
         F.date_format("source.extracted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("extracted_at"), "needs_manual_review", "review_reason", "tags", "entities",
     )
-    return one.select("id", F.to_json(F.struct(*FIELDS)).alias("front_matter"))
+    return one.select("id", F.to_json(F.struct(*(f for f in FIELDS if f != "source_model"))).alias("front_matter"))
 
 
 def uuid7() -> str:
@@ -91,6 +93,44 @@ def slug(title: str) -> str:
     return out.rstrip("-")
 
 
+def run_id(draft_id: str, run: str, millis: int) -> str:
+    """A time-ordered identity that a repeated task gives again."""
+    noise = int.from_bytes(hashlib.blake2b(f"{run}/{draft_id}".encode(), digest_size=10).digest())
+    raw = (millis << 80 | noise) & ~(0xF << 76) & ~(0x3 << 62) | 0x7 << 76 | 0x2 << 62
+    return str(uuid.UUID(int=raw))
+
+
+def published(entries: DataFrame, folder: str, total: int) -> DataFrame:
+    """(draft_id, path): every entry as a file under its number, written where its row is.
+
+    A number that another run has taken is skipped in steps of `total`, so the tasks' numbers never meet; a file that
+    holds this entry's id was written by an earlier attempt of the task and counts.
+    """
+    kinds = dict(entries.dtypes)
+    columns = [c for c in ("draft_id", "number", *FIELDS, "body") if c in kinds]
+
+    def run(batches):
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                number = row.pop("number")
+                data = markdown(row).encode()
+                for k in range(RETRIES):
+                    path = os.path.join(folder, f"{number + k * total:03d}-{slug(row['title'])}.md")
+                    if atomic_write_exclusive(path, data):
+                        break
+                    with open(path, "rb") as f:
+                        if f.readline() == b"---\n" and f.readline() == f"id: {_yaml(row['id'])}\n".encode():
+                            break
+                else:
+                    raise FileExistsError("no free entry number")
+                done.append((row["draft_id"], path))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], names=["draft_id", "path"])
+
+    return entries.select(*columns).mapInArrow(run, "draft_id string, path string")
+
+
 def publish(entries: list[dict], folder: str, number: int) -> tuple[list[str], int]:
     """Write each entry under the next free number; a taken one is skipped, at most RETRIES times. (paths, last number).
 

@@ -83,3 +83,16 @@ def transcripts(lines: DataFrame) -> DataFrame:
     """(session_id, transcript): a session's blocks in line order."""
     ordered = F.sort_array(F.collect_list(F.struct("line_no", "block")))
     return blocks(lines).groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n").alias("transcript"))
+
+
+def source_models(lines: DataFrame) -> DataFrame:
+    """(session_id, family, model): who the conversation was held with; the model is null where the log does not tell.
+
+    Event sessions name it in their turn contexts, plain ones in their assistants' messages; the first by line counts.
+    """
+    v = one_json(F.col("payload"))
+    rows = lines.where("session_id is not null").select("session_id", "line_no", "type", v.alias("v"))
+    event = F.coalesce((F.col("type") == "session_meta") & is_event_session(text_at(F.col("v"), "$.originator"), text_at(F.col("v"), "$.source")), F.lit(False))
+    model = F.when(F.col("type") == "turn_context", text_at(F.col("v"), "$.model")).when(F.col("type") == "assistant", text_at(F.col("v"), "$.model"))
+    one = rows.groupBy("session_id").agg(F.bool_or(event).alias("event"), F.min_by(model, F.when(model.isNotNull(), F.col("line_no"))).alias("model"))
+    return one.select("session_id", F.when(F.col("event"), "codex").otherwise("claude").alias("family"), "model")

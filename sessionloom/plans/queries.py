@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.frames import table, utrim
+from sessionloom.config import EngineConfig
+from sessionloom.frames import stash, table, utrim
 from sessionloom.functions import parsing, text
-from sessionloom.operators import entries, mining, redact, registry, review, shred, state, transcript
-from sessionloom.plans import oracles
+from sessionloom.operators import backends, entries, mining, redact, registry, review, shred, state, transcript
+from sessionloom.plans import oracles, pipeline
+from sessionloom.sources import files
 from sessionloom.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,11 +214,97 @@ def front_matter(published: DataFrame) -> DataFrame:
     return entries.front_matter(published.dropDuplicates(["id"]))
 
 
+def _complete(drafts: DataFrame) -> DataFrame:
+    return _drafts(drafts).where("quote is not null and why is not null and title is not null and category is not null")
+
+
 def json_candidates(drafts: DataFrame) -> DataFrame:
-    """Drafts written as noisy model output and read back."""
-    one = _drafts(drafts).where("quote is not null and why is not null and title is not null and category is not null")
-    noisy = F.concat(F.lit("Sure [1], see:\n```json\n"), F.to_json(F.array(F.struct("title", "category", "tags", "quote", "why"))), F.lit("\n``` done [2]"))
-    return parsing.parse_drafts(one.select("draft_id", noisy.alias("output")), "output", ["draft_id"]).select("draft_id", "ok", F.size("drafts").alias("n"), F.col("drafts")[0]["title"].alias("title"))
+    """Drafts written as noisy model output and read back: in prose, behind a list that is none, cut short, or twice."""
+    good = F.to_json(F.array(F.struct("title", "category", "tags", "quote", "why")))
+    kind = F.length("draft_id") + F.length("title")
+    noisy = (
+        F.when(kind % 4 == 0, F.concat(F.lit("Sure [1], see:\n```json\n"), good, F.lit("\n``` done [2]")))
+        .when(kind % 4 == 1, F.concat(F.lit('[{"title": 5}] and '), good))
+        .when(kind % 4 == 2, F.substring(good, F.lit(1), F.length(good) - 2))
+        .otherwise(F.concat(good, F.lit(" or []")))
+    )
+    return parsing.parse_drafts(_complete(drafts).select("draft_id", noisy.alias("output")), "output", ["draft_id"]).select("draft_id", "ok", F.size("drafts").alias("n"), F.get("drafts", F.lit(0))["title"].alias("title"))
+
+
+def entry_objects(tokenised: DataFrame) -> DataFrame:
+    """Tokenised entries read back out of prose; null fields make an object that does not fit."""
+    one = _drafts(tokenised).select("draft_id", F.concat(F.lit("Here {it} is: "), F.to_json(F.struct("title", "category", "tags", "body", "needs_review", "review_reason")), F.lit(" }")).alias("output"))
+    return parsing.parse_tokenised(one, "output", ["draft_id"]).select("draft_id", "ok", F.sha2("body", 256).alias("hash"), "needs_review")
+
+
+def event_streams(drafts: DataFrame) -> DataFrame:
+    """Quotes sent as an event stream and read back; every third stream has a line that is no JSON."""
+    one = _complete(drafts)
+    event = lambda c: F.to_json(F.struct(F.lit("text").alias("type"), F.struct(F.col(c).alias("text")).alias("part")))
+    stream = F.concat_ws("\n", F.lit('{"type": "start"}'), event("title"), F.when(F.length("title") % 3 == 0, "broken {").otherwise(""), event("quote"))
+    return parsing.event_texts(one.select("draft_id", stream.alias("output")), "output", ["draft_id"]).select("draft_id", F.sha2("text", 256).alias("hash"), "ok")
+
+
+def registry_merge(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
+    """Two runs' registries, learnt from overlapping drafts, merged: as one."""
+    early, late = drafts.where("seq_no is null or seq_no % 3 < 2"), drafts.where("seq_no is null or seq_no % 3 > 0")
+    return registry.merge(registry.grow(registry.draft_literals(early, tokenised)), registry.grow(registry.draft_literals(late, tokenised)))
+
+
+def max_number(drafts: DataFrame) -> DataFrame:
+    """The highest number among published names and others that do not count."""
+    name = F.when(F.length("title") % 5 == 0, F.concat(F.lit("x-"), F.lit("999999.md"))).when(F.length("title") % 5 == 1, F.concat(F.lit("888888-"), "draft_id")).otherwise(text.file_name(F.coalesce("seq_no", F.lit(0)) * 7, F.coalesce("title", F.lit(""))))
+    return drafts.sparkSession.createDataFrame([(entries.max_number(drafts.select(name.alias("name"))),)], "n int")
+
+
+# --- files and the whole run ----------------------------------------------------------------------------------------------
+def _log_files(lines: DataFrame) -> str:
+    """Writes each session as a JSON-lines file below the shared folder; the folder."""
+    one = _lines(lines).where("session_id is not null")
+    line = F.concat(F.lit('{"type":"'), F.coalesce("type", F.lit("")), F.lit('","payload":'), F.coalesce("payload", F.lit("null")), F.lit("}\n"))
+    whole = one.select("session_id", "line_no", line.alias("line")).groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "").alias("content"))
+    return files.write(whole.select(F.concat(F.lit("-home-loom/"), "session_id", F.lit(".jsonl")).alias("name"), "content"))
+
+
+def files_scan(lines: DataFrame) -> DataFrame:
+    """Sessions as files: found, hashed, read line by line, their dialect sniffed."""
+    folder = _log_files(lines)
+    found = stash(files.read(files.session_files(lines.sparkSession, folder)))
+    rows = files.lines(found)
+    count = rows.groupBy("path").agg(F.count("*").alias("lines"))
+    kinds = files.sniff(rows).select("path", "dialect")
+    return files.hashed(found).join(count, "path").join(kinds, "path").select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("session"), "file_sha256", "size_bytes", "lines", "dialect")
+
+
+def files_stats(lines: DataFrame) -> DataFrame:
+    return pipeline.stats(lines.sparkSession, _log_files(lines))
+
+
+def _offline(root: str) -> EngineConfig:
+    """The default backends without a model: the first human block as the one draft, the redactor's e-mail rule as tokeniser."""
+
+    def extract(prompt: str) -> str:
+        spoken = [b for b in prompt.split("\n\n")[1:] if b.startswith("[HUMAN]: ") and "@" in b]
+        return json.dumps([{"title": "A moment", "category": "other", "tags": ["log"], "quote": b, "why": "first"} for b in spoken[:1]])
+
+    def tokenise(prompt: str) -> str:
+        d = json.loads(prompt[prompt.index("\n{") + 1 :])
+        seen = list(dict.fromkeys(re.findall(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", d["quote"])))
+        for i, value in enumerate(seen[:1]):  # later addresses stay: the scan must find those taught before
+            d["quote"] = d["quote"].replace(value, f"#EMAIL_{i + 1:03d}#")
+        return json.dumps({k: d[k] for k in ("title", "category", "tags")} | {"body": d["quote"]})
+
+    return EngineConfig(root, backends.Offline("offline/first", extract), backends.Offline("offline/mail", tokenise))
+
+
+def mine_run(lines: DataFrame) -> DataFrame:
+    """A whole run over the files with offline backends, and what a second one finds to do: (what, n)."""
+    spark, folder = lines.sparkSession, _log_files(lines)
+    config = _offline(f"{folder}-out")
+    first = pipeline.mine(spark, folder, config)
+    again = pipeline.plan(spark, folder, config).count()
+    rows = [*first.counters.items(), ("entries", first.entries.count()), ("files", first.paths.distinct().count()), ("again", again - first.counters["failed"])]
+    return spark.createDataFrame(rows, "what string, n long")
 
 
 # --- mining ---------------------------------------------------------------------------------------------------------------
@@ -247,6 +337,12 @@ def session_cap(lines: DataFrame) -> DataFrame:
     return mining.capped(_scored(lines), mining.turns(lines)).select("session_id", "start_turn", "place")
 
 
+def same_titles(drafts: DataFrame, tokenised: DataFrame) -> DataFrame:
+    """Titles that a draft shares with its tokenised entry or with others."""
+    both = drafts.select(F.concat(F.lit("d/"), "draft_id").alias("key"), "title").union(tokenised.select(F.concat(F.lit("t/"), "draft_id"), "title"))
+    return mining.same_titles(both, "key")
+
+
 def version_rescore(drafts: DataFrame) -> DataFrame:
     """Versions that need another scoring, by a small lookup table."""
     versions = drafts.sparkSession.createDataFrame([(0, False), (1, True), (2, False)], "version int, rescore boolean")
@@ -298,6 +394,14 @@ def queries() -> dict[str, Query]:
         "path_order": _on(path_order, prepared),
         "front_matter": _on(front_matter, published),
         "json_candidates": _on(json_candidates, drafts),
+        "entry_objects": _on(entry_objects, tokenised),
+        "event_streams": _on(event_streams, drafts),
+        "registry_merge": _on(registry_merge, drafts, tokenised),
+        "max_number": _on(max_number, drafts),
+        "files_scan": _on(files_scan, lines),
+        "files_stats": _on(files_stats, lines),
+        "mine_run": _on(mine_run, lines),
+        "source_models": _on(transcript.source_models, lines),
         "msg_windows": _on(msg_windows, lines),
         "window_prefilter": _on(window_prefilter, lines),
         "score_filter": _on(score_filter, lines),
@@ -305,7 +409,7 @@ def queries() -> dict[str, Query]:
         "overlap_greedy": _on(overlap_greedy, lines),
         "session_cap": _on(session_cap, lines),
         "content_dedup": _on(lambda d: mining.content_dedup(d, "doc_id", "text"), documents),
-        "same_titles": _on(lambda d: mining.same_titles(d, "draft_id"), drafts),
+        "same_titles": _on(same_titles, drafts, tokenised),
         "label_distribution": _on(lambda d: mining.distribution(_drafts(d), "category"), drafts),
         "version_rescore": _on(version_rescore, drafts),
         "activity": _on(activity, lines),

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.frames import checkpoint_dir, spread
 from sessionloom.functions.text import event_project, one_json, path_project, path_session, text_at
+from sessionloom.operators.state import atomic_write
 from sessionloom.operators.transcript import is_event_session
 
 
@@ -36,6 +41,51 @@ def session_key(path: str) -> str:
     return path if "://" in path else os.path.realpath(path)
 
 
+def write(named: DataFrame) -> str:
+    """Writes (name, content) rows as files below a new folder of the shared checkpoint folder; the folder."""
+    root = checkpoint_dir(named.sparkSession)
+    folder = os.path.join(root.removeprefix("file://"), f"files-{uuid.uuid4().hex}")
+
+    def run(batches):
+        n = 0
+        for batch in batches:
+            for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist()):
+                atomic_write(os.path.join(folder, name), content.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    os.makedirs(folder, exist_ok=True)
+    named.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def read(files: DataFrame) -> DataFrame:
+    """Adds content and error: a file that cannot be read has no content and the error's class; the others go on."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):  # one file a batch: files may be large
+                row = batch.slice(i, 1)
+                content, error = None, None
+                try:
+                    content = _bytes(row["path"][0].as_py())
+                except (OSError, pa.ArrowException) as why:
+                    error = type(why).__name__
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*row.schema.names, "content", "error"])
+
+    schema = ", ".join(f"`{k}` {t}" for k, t in files.dtypes) + ", content binary, error string"
+    return spread(files).mapInArrow(run, schema)
+
+
+def _bytes(path: str) -> bytes:
+    if "://" in path:
+        system, inner = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(inner) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def hashed(files: DataFrame) -> DataFrame:
     """Files with content -> with file_sha256 and without the content."""
     return files.withColumn("file_sha256", F.sha2("content", 256)).drop("content")
