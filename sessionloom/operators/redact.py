@@ -37,10 +37,21 @@ SIGNATURE = hashlib.sha256(repr(PATTERNS).encode()).hexdigest()
 
 
 def found(text):
-    """An array of (type, value) in table order; each distinct value once, under its first type."""
+    """An array of (type, value) in table order; each distinct value once, under its first type.
+
+    A value around one of an earlier type (an address made of a URL's password and host) gives way to it.
+    """
     parts = [F.transform(_checked(F.regexp_extract_all(text, F.lit(p), F.lit(group)), check), _tag(kind)) for kind, p, group, check in PATTERNS]
     every = F.filter(F.concat(*parts), lambda x: x["value"] != "")
-    return F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: y["value"]), x["value"]) == i + 1)
+
+    def chosen(all_found):
+        def first(x, i):
+            around = F.exists(F.slice(all_found, F.lit(1), i), lambda y: (y["type"] != x["type"]) & F.contains(x["value"], y["value"]))
+            return (F.array_position(F.transform(all_found, lambda y: y["value"]), x["value"]) == i + 1) & ~around
+
+        return F.filter(all_found, first)
+
+    return F.transform(F.array(every), chosen)[0]  # bound to a name, the patterns run once
 
 
 def _checked(values, check: str | None):

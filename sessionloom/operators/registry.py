@@ -55,12 +55,17 @@ def categories(tokenised: DataFrame) -> DataFrame:
     return tokenised.select(F.explode(marks).alias("category")).distinct()
 
 
+def summary(registry: DataFrame) -> tuple[list[int], int]:
+    """The lengths to probe, at most one per byte length, and about how many hashes there are; one pass.
+
+    Lengths are 8 to 256 if hashes are there and no length is known.
+    """
+    found = registry.agg(F.sort_array(F.collect_set("length")).alias("lengths"), F.approx_count_distinct("hash").alias("n")).first()
+    return list(found["lengths"]) or (list(range(MIN_LITERAL_BYTES, WIDEST + 1)) if found["n"] else []), found["n"]
+
+
 def lengths_of(registry: DataFrame) -> list[int]:
-    """The lengths to probe: at most one per byte length, a few dozen in practice; 8 to 256 if none is known."""
-    found = [r[0] for r in registry.where("length is not null").select("length").distinct().orderBy("length").collect()]
-    if found:
-        return found
-    return list(range(MIN_LITERAL_BYTES, WIDEST + 1)) if registry.take(1) else []
+    return summary(registry)[0]
 
 
 def _positions(hash_column, bits: int) -> list:
@@ -69,10 +74,9 @@ def _positions(hash_column, bits: int) -> list:
     return [h.bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(h, 32).bitwiseAND((1 << bits) - 1)]
 
 
-def bloom(registry: DataFrame) -> list[int]:
-    """The filter as 64-bit words; its bits are set by the executors, at most 2 ** BLOOM[1] of them in all."""
-    hashes = registry.where("hash is not null").select("hash").distinct()
-    n = hashes.agg(F.approx_count_distinct("hash")).first()[0]
+def bloom(registry: DataFrame, n: int) -> list[int]:
+    """The filter for about n hashes as 64-bit words; its bits are set by the executors, at most 2 ** BLOOM[1] of them."""
+    hashes = registry.where("hash is not null").select("hash")
     bits = min(BLOOM[1], max(BLOOM[0], (16 * n).bit_length()))
     at = hashes.select(F.explode(F.array(*_positions(F.col("hash"), bits))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
@@ -106,12 +110,12 @@ def leaks(texts: DataFrame, keys: list[str], column: str, registry: DataFrame, d
     delimiter_free tells that all literals were learnt by this library (none holds a delimiter); otherwise whole texts
     are probed. With `since`, one of the keys, a hash counts only if the registry's first_seq is not above it.
     """
-    lengths = lengths_of(registry)
+    lengths, n = summary(registry)
     if not lengths:
         return texts.select(*keys, F.lit(None).cast("string").alias("hash")).where(F.lit(False))
     source = texts.where(F.col(column).isNotNull())
     split = runs(F.col(column)) if delimiter_free else F.array(F.col(column))
-    passed = _windows(source, keys, split, lengths, bloom(registry))
+    passed = _windows(source, keys, split, lengths, bloom(registry, n))
     # the registry grows with the data: the join strategy is left to the optimizer's size estimate
     if since is None:
         return passed.join(registry.select("hash").distinct(), "hash", "left_semi").select(*keys, "hash").distinct()
@@ -151,5 +155,6 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def save(registry: DataFrame, path: str) -> None:
     """Export of a small registry as a file; the engine itself keeps a table (operators/tables.py)."""
-    rows = registry.collect()
-    atomic_write(path, json.dumps({"hashes": sorted({r.hash for r in rows if r.hash}), "lengths": sorted({r.length for r in rows if r.length}), "categories": sorted({r.category for r in rows if r.category})}, indent=2).encode())
+    rows = [r.asDict() for r in registry.collect()]
+    names = {"hashes": "hash", "lengths": "length", "categories": "category"}
+    atomic_write(path, json.dumps({name: sorted({r[c] for r in rows if r.get(c)}) for name, c in names.items()}, indent=2).encode())

@@ -151,7 +151,7 @@ SQL = {
     "leak_review": f"WITH {_HITS}, h AS (SELECT draft_id, CAST(sum(hits) AS BIGINT) AS hits FROM hit GROUP BY 1) SELECT draft_id, coalesce(hits, 0) AS hits, coalesce(needs_review, false) OR hits IS NOT NULL AS needs_manual_review, coalesce(review_reason, hits || ' registry hit(s)') AS review_reason FROM t LEFT JOIN h USING (draft_id)",
     "sequential_leaks": f"WITH {_LITERALS}, first AS (SELECT literal, min(epoch_us(extracted_at)) AS seq FROM lit JOIN d USING (draft_id) GROUP BY 1) SELECT DISTINCT t.draft_id, sha256(literal) AS hash FROM t JOIN d USING (draft_id) JOIN first ON contains(t.body, literal) AND seq <= epoch_us(d.extracted_at)",
     "validate_counts": f"WITH {_LITERALS}, {_KNOWN}, {_MD}, h AS (SELECT DISTINCT id FROM md JOIN known ON contains(shown, literal)) SELECT h.id IS NOT NULL AS leaked, count(*) AS n FROM md LEFT JOIN h USING (id) GROUP BY 1",
-    "redact_values": f"WITH {_D}, v AS (" + " UNION ALL ".join(f"SELECT draft_id, '{kind}' AS type, {k} AS k, {_CHECKS[check]} AS value FROM (SELECT draft_id, unnest(regexp_extract_all(quote, {_q(p)}, {group})) AS value FROM d WHERE quote IS NOT NULL)" for k, (kind, p, group, check) in enumerate(_FORMATS)) + "), one AS (SELECT draft_id, value, arg_min(type, k) AS type FROM v WHERE value <> '' GROUP BY 1, 2) SELECT type, count(*) AS n, count(DISTINCT value) AS \"values\" FROM one GROUP BY 1",
+    "redact_values": f"WITH {_D}, v AS (" + " UNION ALL ".join(f"SELECT draft_id, '{kind}' AS type, {k} AS k, {_CHECKS[check]} AS value FROM (SELECT draft_id, unnest(regexp_extract_all(quote, {_q(p)}, {group})) AS value FROM d WHERE quote IS NOT NULL)" for k, (kind, p, group, check) in enumerate(_FORMATS)) + "), one AS (SELECT draft_id, value, arg_min(type, k) AS type, min(k) AS k FROM v WHERE value <> '' GROUP BY 1, 2) SELECT type, count(*) AS n, count(DISTINCT value) AS \"values\" FROM one WHERE NOT EXISTS (SELECT 1 FROM one AS e WHERE e.draft_id = one.draft_id AND e.k < one.k AND e.type <> one.type AND contains(one.value, e.value)) GROUP BY 1",
     "placeholder_integrity": f"""WITH {_T}, u AS (SELECT draft_id, list_distinct(regexp_extract_all(concat_ws(chr(10), title, category, array_to_string(tags, chr(10)), body), '#[A-Z][A-Z0-9_]*_[0-9]{{3,}}#')) AS used, coalesce(json_keys(entities), []) AS keys FROM t),
  g AS (SELECT draft_id, array_to_string(list_sort(list_filter(used, lambda x: NOT list_contains(keys, x))), ',') AS unlisted, array_to_string(list_sort(list_filter(keys, lambda x: NOT list_contains(used, x))), ',') AS unused FROM u) SELECT * FROM g WHERE unlisted <> '' OR unused <> ''""",
     "entity_edges": f"""WITH {_T}, k AS (SELECT draft_id, entities, unnest(json_keys(entities)) AS placeholder FROM t WHERE entities IS NOT NULL) SELECT draft_id, placeholder, json_extract_string(entities, '$."' || placeholder || '".type') AS type FROM k""",
@@ -167,6 +167,10 @@ SQL = {
     "score_filter": f"WITH {_STATS} SELECT session_id, start_turn FROM st WHERE users >= 0.6 * n OR long_turns >= 0.6 * n",
     "overlap_merge": f"""WITH {_RANGES}, m AS (SELECT *, max(end_turn) OVER (PARTITION BY session_id ORDER BY start_turn, end_turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
  i AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach - start_turn + 1 < 3 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY start_turn, end_turn) AS island FROM m) SELECT session_id, min(start_turn) AS start_turn, max(end_turn) AS end_turn, max(score) AS score FROM i GROUP BY session_id, island""",
+    "overlap_greedy": f"""WITH RECURSIVE {_RANGES}, q AS (SELECT session_id, CAST(start_turn AS BIGINT) AS s, CAST(end_turn AS BIGINT) AS e, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, start_turn, end_turn) AS k FROM r),
+ g AS (SELECT session_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(s BIGINT, e BIGINT, score BIGINT)[]) AS kept FROM (SELECT DISTINCT session_id FROM q)
+  UNION ALL SELECT g.session_id, q.k, CASE WHEN len(list_filter(kept, lambda x: least(x.e, q.e) - greatest(x.s, q.s) + 1 > 0.6 * (least(x.e - x.s, q.e - q.s) + 1))) = 0 THEN list_append(kept, {{'s': q.s, 'e': q.e, 'score': q.score}}) ELSE kept END FROM g JOIN q ON q.session_id = g.session_id AND q.k = g.k + 1),
+ done AS (SELECT session_id, arg_max(kept, k) AS kept FROM g GROUP BY 1), one AS (SELECT session_id, unnest(kept) AS x FROM done) SELECT session_id, x.s AS start_turn, x.e AS end_turn, x.score AS score FROM one""",
     "session_cap": f"WITH {_RANGES}, c AS (SELECT session_id, least(greatest(CAST(ceil(count(*) / 1000.0) AS INTEGER), 3), 10) AS most FROM turn GROUP BY 1), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, start_turn) AS INTEGER) AS place FROM r) SELECT session_id, start_turn, place FROM p JOIN c USING (session_id) WHERE place <= most",
     "content_dedup": "SELECT sha256(text) AS hash, min(doc_id) AS first_key, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "same_titles": "SELECT title_key, count(*) AS n FROM (SELECT DISTINCT 'd' AS src, draft_id, lower(title) AS title_key FROM drafts UNION SELECT DISTINCT 't', draft_id, lower(title) FROM tokenised_entries) GROUP BY 1 HAVING count(*) > 1",
