@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.frames import numbered_in, utrim
+from sessionloom.frames import numbered_in, spread, utrim
 from sessionloom.functions.text import one_json, text_at
 from sessionloom.operators.transcript import RESULTS
 
@@ -20,7 +20,8 @@ def turns(lines: DataFrame) -> DataFrame:
     is then empty. Unreadable payloads give none; of repeated lines one counts.
     """
     v = F.col("v")
-    base = lines.where("type in ('user', 'assistant', 'response_item')").select("session_id", "line_no", "type", one_json(F.col("payload")).alias("v")).dropDuplicates(["session_id", "line_no"]).where("v is not null and session_id is not null and line_no is not null")
+    spoken = spread(lines.select("session_id", "line_no", "type", "payload").where("type in ('user', 'assistant', 'response_item')"))
+    base = spoken.select("session_id", "line_no", "type", one_json(F.col("payload")).alias("v")).where("v is not null and session_id is not null and line_no is not null")
     kind = text_at(v, "$.type")
     said = F.lower(utrim(text_at(v, "$.role")))
     speech = F.col("type").isin("user", "assistant") | (kind == "message")
@@ -28,7 +29,8 @@ def turns(lines: DataFrame) -> DataFrame:
     role = F.when(speech, F.when((F.col("type") == "user") & (said == "user"), role_of(said, F.try_variant_get(v, "$.content", "variant"))).otherwise(said)).when(result, "tool")
     parts = F.filter(F.transform(F.try_variant_get(v, "$.content", "array<variant>"), lambda x: text_at(x, "$.text")), lambda t: utrim(t) != "")
     text = F.coalesce(text_at(v, "$.content"), F.array_join(parts, "\n\n"), F.when(result, text_at(v, "$.output")), F.lit(""))
-    rows = base.select("session_id", "line_no", role.alias("role"), text.alias("text")).where("role in ('user', 'assistant', 'tool')").where((F.col("role") == "tool") | (utrim(F.col("text")) != ""))
+    # read where the lines are: only what is said moves
+    rows = base.select("session_id", "line_no", role.alias("role"), text.alias("text")).dropDuplicates(["session_id", "line_no"]).where("role in ('user', 'assistant', 'tool')").where((F.col("role") == "tool") | (utrim(F.col("text")) != ""))
     return numbered_in(rows, "session_id", "line_no", "turn_no").select("session_id", "turn_no", "role", "text")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.frames import utrim
+from sessionloom.frames import spread, utrim
 from sessionloom.functions.text import block, one_json, text_at
 
 CALLS = ("function_call", "custom_tool_call")
@@ -35,7 +35,7 @@ def _texts(value, path: str, kinds: tuple[str, ...] | None):
 def events(lines: DataFrame) -> DataFrame:
     """(session_id, line_no, kind, role, call_id, name, text) of the six kinds of response items; one row per line."""
     v = one_json(F.col("payload"))
-    base = lines.where("type = 'response_item'").select("session_id", "line_no", v.alias("v")).dropDuplicates(["session_id", "line_no"]).where("v is not null")
+    base = spread(lines.select("session_id", "line_no", "type", "payload").where("type = 'response_item'")).select("session_id", "line_no", v.alias("v")).where("v is not null")
     kind = text_at(F.col("v"), "$.type")
     output = utrim(text_at(F.col("v"), "$.output"))
     inner = utrim(text_at(one_json(output), "$.output"))
@@ -51,6 +51,7 @@ def events(lines: DataFrame) -> DataFrame:
         base.withColumn("kind", kind)
         .where(F.col("kind").isin("message", "reasoning", *CALLS, *RESULTS))
         .select("session_id", "line_no", "kind", text_at(F.col("v"), "$.role").alias("role"), text_at(F.col("v"), "$.call_id").alias("call_id"), F.coalesce(text_at(F.col("v"), "$.name"), F.lit("unknown")).alias("name"), text.alias("text"))
+        .dropDuplicates(["session_id", "line_no"])
     )
 
 

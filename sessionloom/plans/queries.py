@@ -151,12 +151,19 @@ def validate_counts(drafts: DataFrame, tokenised: DataFrame, published: DataFram
     return texts.select("id").join(hits, "id", "left").groupBy(F.coalesce("leaked", F.lit(False)).alias("leaked")).agg(F.count("*").alias("n"))
 
 
+def _quotes(drafts: DataFrame) -> DataFrame:
+    """(draft_id, quote), each draft once; partitions stay apart, as many patterns run over little data."""
+    parts = int(drafts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return drafts.select("draft_id", "quote").repartition(parts, "draft_id").dropDuplicates(["draft_id"]).where("quote is not null")
+
+
 def redact_values(drafts: DataFrame) -> DataFrame:
-    return _drafts(drafts).where("quote is not null").select("draft_id", F.inline(redact.found(F.col("quote"))).alias("type", "value")).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"))
+    found = _quotes(drafts).select("draft_id", F.inline_outer(redact.found(F.col("quote"))).alias("type", "value"))  # inline would evaluate it again in a filter
+    return found.where("type is not null").groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"))
 
 
 def redact_default(drafts: DataFrame) -> DataFrame:
-    return redact.redact(_drafts(drafts).where("quote is not null").select("draft_id", "quote"), "quote").select("draft_id", "redacted", F.to_json("entities").alias("entities"))
+    return redact.redact(_quotes(drafts), "quote").select("draft_id", "redacted", F.to_json("entities").alias("entities"))
 
 
 def draft_contract(drafts: DataFrame, prepared: DataFrame) -> DataFrame:
