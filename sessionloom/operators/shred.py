@@ -174,8 +174,9 @@ def tables(columns: list[tuple[tuple[Step, ...], bool, Levels]]) -> list[tuple[s
     return [(kind, node, up, json.dumps(fields, ensure_ascii=False)) for node, (kind, up, fields) in rows.items()]
 
 
-def _per_line(lines: DataFrame, fn, columns: str) -> DataFrame:
-    """Run fn over each readable payload; an extra list column per result row."""
+def _per_line(lines: DataFrame, fn, columns: str, once: bool = False) -> DataFrame:
+    """Run fn over each readable payload; the columns of each result row. With `once`, repeated lines count once before they
+    are read: a payload is smaller than all that comes out of it."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batch: pa.RecordBatch) -> dict | None:
@@ -194,8 +195,8 @@ def _per_line(lines: DataFrame, fn, columns: str) -> DataFrame:
         at = pa.array(take, pa.int64())
         return {"session_id": batch["session_id"].take(at), "line_no": batch["line_no"].take(at)} | {c: pa.array(v, pa.int32() if c.endswith("_level") else pa.string()) for c, v in zip(names, out)}
 
-    source = spread(lines.select("session_id", F.col("line_no").cast("int").alias("line_no"), "payload").where(F.col("session_id").isNotNull() & F.col("line_no").isNotNull()))
-    return by_batch(source, run, "session_id string, line_no int, " + columns)
+    source = lines.select("session_id", F.col("line_no").cast("int").alias("line_no"), "payload").where(F.col("session_id").isNotNull() & F.col("line_no").isNotNull())
+    return by_batch(source.distinct() if once else spread(source), run, "session_id string, line_no int, " + columns)
 
 
 def object_elements(lines: DataFrame) -> DataFrame:
@@ -210,9 +211,9 @@ def level_columns(lines: DataFrame) -> DataFrame:
     def fn(value: Any) -> list[tuple]:
         return [(name(path) + ("{}" if flag else ""), k, r, d, None if v is None else json.dumps(v)) for path, flag, levels in shred(value) for k, (r, d, v) in enumerate(levels)]
 
-    return _per_line(lines, fn, "leaf_path string, entry_level int, repetition_level int, definition_level int, value string").distinct()
+    return _per_line(lines, fn, "leaf_path string, entry_level int, repetition_level int, definition_level int, value string", once=True)
 
 
 def flat_tables(lines: DataFrame) -> DataFrame:
     """Related flat rows: table_path, node_path, parent_path (null for the record) and the scalar fields as JSON."""
-    return _per_line(lines, lambda v: tables(shred(v)), "table_path string, node_path string, parent_path string, fields string").distinct()
+    return _per_line(lines, lambda v: tables(shred(v)), "table_path string, node_path string, parent_path string, fields string", once=True)

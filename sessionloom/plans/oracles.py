@@ -116,6 +116,12 @@ SQL = {
  f AS (SELECT session_id, string_agg(line || chr(10), '' ORDER BY line_no) AS txt, arg_min(line, line_no) AS head, CAST(sum(1 + length(line) - length(replace(line, chr(10), ''))) AS BIGINT) AS lines FROM x GROUP BY 1)
  SELECT session_id AS session, sha256(txt) AS file_sha256, strlen(txt) AS size_bytes, lines, CASE WHEN NOT json_valid(head) THEN NULL WHEN json_extract_string(head, '$.type') = 'session_meta' AND starts_with(lower({_trim(_str('$.payload.originator', 'head'))}), 'codex') AND lower({_trim(_str('$.payload.source', 'head'))}) IN ('cli', 'exec') THEN 'event' ELSE 'plain' END AS dialect FROM f""",
     "files_stats": f"""WITH {_L} SELECT count(DISTINCT session_id) AS files, CAST(sum(strlen('{{"type":"' || coalesce(type, '') || '","payload":' || coalesce(payload, 'null') || '}}') + 1) AS BIGINT) AS bytes FROM l WHERE session_id IS NOT NULL""",
+    # a draft is the first one-line human block with an address; sessions without a readable head or any block fail
+    "mine_run": f"""WITH {_EVENTS}, x AS (SELECT session_id, line_no, '{{"type":"' || coalesce(type, '') || '","payload":' || coalesce(payload, 'null') || '}}' AS line FROM l WHERE session_id IS NOT NULL), h AS (SELECT session_id, arg_min(line, line_no) AS head FROM x GROUP BY 1),
+ f AS (SELECT session_id, CASE WHEN NOT json_valid(head) THEN NULL WHEN json_extract_string(head, '$.type') = 'session_meta' AND starts_with(lower({_trim(_str('$.payload.originator', 'head'))}), 'codex') AND lower({_trim(_str('$.payload.source', 'head'))}) IN ('cli', 'exec') THEN 'event' ELSE 'plain' END AS dialect FROM h),
+ b AS (SELECT session_id, kind, role, {_trim('txt')} AS t FROM ev), s AS (SELECT session_id, bool_or(t <> '' AND (kind <> 'message' OR role IN ('user', 'assistant'))) AS blocks, bool_or(kind = 'message' AND role = 'user' AND contains(t, '@') AND NOT contains(t, chr(10))) AS draft FROM b GROUP BY 1),
+ n AS (SELECT count(*) FILTER (dialect = 'plain' OR dialect = 'event' AND coalesce(blocks, false)) AS done, count(*) AS files, count(*) FILTER (dialect = 'event' AND draft) AS entries FROM f LEFT JOIN s USING (session_id))
+ SELECT 'extracted' AS what, done AS n FROM n UNION ALL SELECT 'skipped', 0 FROM n UNION ALL SELECT 'failed', files - done FROM n UNION ALL SELECT 'entries', entries FROM n UNION ALL SELECT 'files', entries FROM n UNION ALL SELECT 'again', 0 FROM n""",
     "source_models": f"""WITH {_L}, x AS (SELECT session_id, line_no, type, CASE WHEN json_valid(payload) THEN payload END AS payload FROM l WHERE session_id IS NOT NULL),
  m AS (SELECT session_id, line_no, coalesce(type = 'session_meta' AND starts_with(lower({_trim(_str('$.originator'))}), 'codex') AND lower({_trim(_str('$.source'))}) IN ('cli', 'exec'), false) AS event, CASE WHEN type IN ('turn_context', 'assistant') THEN {_str('$.model')} END AS model FROM x)
  SELECT session_id, CASE WHEN bool_or(event) THEN 'codex' ELSE 'claude' END AS family, arg_min(model, line_no) FILTER (model IS NOT NULL) AS model FROM m GROUP BY 1""",
