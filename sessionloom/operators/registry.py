@@ -20,7 +20,7 @@ from sessionloom.functions.text import MIN_LITERAL_BYTES, masked_literals, runs,
 from sessionloom.operators.state import atomic_write
 
 WIDEST, CHUNK = 256, 4096
-BLOOM = (6, 20)  # log2 of the least and most bits of the filter (128 KB); 16 bits a hash as far as they reach
+BLOOM = (6, 23)  # log2 of the least and most bits of the filter (1 MB); 16 bits a hash as far as they reach
 
 SCHEMA = "hash string, length int, category string"
 
@@ -94,7 +94,7 @@ def _windows(texts: DataFrame, keys: list[str], runs_of, lengths: list[int], wor
     # a run of any length makes rows of at most CHUNK windows
     last = F.col("n") - F.col("w") + 1
     parts = sized.withColumn("at", F.explode(F.sequence(F.lit(1), last, F.lit(CHUNK)))).withColumn("to", F.least(F.col("at") + CHUNK - 1, last))
-    filter_words = F.lit(words)
+    filter_words = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")  # a constant of the plan
 
     def passes(h):
         tests = [F.get(filter_words, F.shiftright(p, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))) != 0 for p in _positions(h, bits)]
