@@ -100,6 +100,8 @@ _FORMATS = (
 _LUHN = "list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 0 THEN CAST(x[i] AS INTEGER) ELSE CAST(x[i] AS INTEGER) * 2 - CASE WHEN CAST(x[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
 _CHECKS = {None: "value", "digit": "CASE WHEN regexp_matches(value, '[0-9]') THEN value END", "luhn": f"CASE WHEN (SELECT {_LUHN} FROM (SELECT regexp_replace(value, '[ -]', '', 'g') AS x)) THEN value END"}
 
+_FOUND = "v AS (" + " UNION ALL ".join(f"SELECT draft_id, '{kind}' AS type, {k} AS k, {_CHECKS[check]} AS value FROM (SELECT draft_id, unnest(regexp_extract_all(quote, {_q(p)}, {group})) AS value FROM d WHERE quote IS NOT NULL)" for k, (kind, p, group, check) in enumerate(_FORMATS)) + "), one AS (SELECT draft_id, value, arg_min(type, k) AS type, min(k) AS k FROM v WHERE value <> '' GROUP BY 1, 2), kept AS (SELECT draft_id, value, type FROM one WHERE NOT EXISTS (SELECT 1 FROM one AS e WHERE e.draft_id = one.draft_id AND e.k < one.k AND e.type <> one.type AND contains(one.value, e.value)))"
+
 _MATTER = " || ".join(f"coalesce(',\"{k}\":' || to_json({v}), '')" for k, v in (("title", "title"), ("project", "project"), ("category", "category"), ("source_type", "source.source_type"), ("session_id", "source.session_id"), ("message_range", "CASE WHEN source.message_range IS NOT NULL THEN [source.message_range.start, source.message_range.end] END"), ("extracted_at", "strftime(source.extracted_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')"), ("needs_manual_review", "needs_manual_review"), ("review_reason", "review_reason"), ("tags", "tags"), ("entities", "CAST(entities AS VARCHAR)")))
 
 SQL = {
@@ -157,7 +159,14 @@ SQL = {
     "leak_review": f"WITH {_HITS}, h AS (SELECT draft_id, CAST(sum(hits) AS BIGINT) AS hits FROM hit GROUP BY 1) SELECT draft_id, coalesce(hits, 0) AS hits, coalesce(needs_review, false) OR hits IS NOT NULL AS needs_manual_review, coalesce(review_reason, hits || ' registry hit(s)') AS review_reason FROM t LEFT JOIN h USING (draft_id)",
     "sequential_leaks": f"WITH {_LITERALS}, first AS (SELECT literal, min(epoch_us(extracted_at)) AS seq FROM lit JOIN d USING (draft_id) GROUP BY 1) SELECT DISTINCT t.draft_id, sha256(literal) AS hash FROM t JOIN d USING (draft_id) JOIN first ON contains(t.body, literal) AND seq <= epoch_us(d.extracted_at)",
     "validate_counts": f"WITH {_LITERALS}, {_KNOWN}, {_MD}, h AS (SELECT DISTINCT id FROM md JOIN known ON contains(shown, literal)) SELECT h.id IS NOT NULL AS leaked, count(*) AS n FROM md LEFT JOIN h USING (id) GROUP BY 1",
-    "redact_values": f"WITH {_D}, v AS (" + " UNION ALL ".join(f"SELECT draft_id, '{kind}' AS type, {k} AS k, {_CHECKS[check]} AS value FROM (SELECT draft_id, unnest(regexp_extract_all(quote, {_q(p)}, {group})) AS value FROM d WHERE quote IS NOT NULL)" for k, (kind, p, group, check) in enumerate(_FORMATS)) + "), one AS (SELECT draft_id, value, arg_min(type, k) AS type, min(k) AS k FROM v WHERE value <> '' GROUP BY 1, 2) SELECT type, count(*) AS n, count(DISTINCT value) AS \"values\" FROM one WHERE NOT EXISTS (SELECT 1 FROM one AS e WHERE e.draft_id = one.draft_id AND e.k < one.k AND e.type <> one.type AND contains(one.value, e.value)) GROUP BY 1",
+    "redact_values": f"WITH {_D}, {_FOUND} SELECT type, count(*) AS n, count(DISTINCT value) AS \"values\" FROM kept GROUP BY 1",
+    # numbers by place of the first appearance in any case; longest values are replaced first
+    "redact_default": f"""WITH {_D}, {_FOUND}, pl AS (SELECT draft_id, value, type, strpos(lower(quote), lower(value)) AS place, strlen(value) AS n FROM kept JOIN d USING (draft_id)),
+ ph AS (SELECT *, '#' || type || '_' || lpad(CAST(dense_rank() OVER (PARTITION BY draft_id, type ORDER BY place, n DESC) AS VARCHAR), 3, '0') || '#' AS p FROM pl),
+ li AS (SELECT draft_id, list({{'t': '', 'v': value, 'p': p, 'y': type}} ORDER BY n DESC, value) AS l FROM ph GROUP BY 1),
+ ou AS (SELECT draft_id, l, list_reduce(list_prepend({{'t': quote, 'v': '', 'p': '', 'y': ''}}, l), lambda acc, x: {{'t': replace(acc.t, x.v, x.p), 'v': '', 'p': '', 'y': ''}}).t AS redacted FROM d JOIN li USING (draft_id)),
+ en AS (SELECT draft_id, redacted, list_filter(list_transform(l, lambda x: '"' || x.p || '":"' || x.y || '"'), lambda x: contains(redacted, string_split(x, '"')[2])) AS e FROM ou)
+ SELECT draft_id, coalesce(redacted, quote) AS redacted, '{{' || coalesce(array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), ','), '') || '}}' AS entities FROM d LEFT JOIN en USING (draft_id) WHERE quote IS NOT NULL""",
     "placeholder_integrity": f"""WITH {_T}, u AS (SELECT draft_id, list_distinct(regexp_extract_all(concat_ws(chr(10), title, category, array_to_string(tags, chr(10)), body), '#[A-Z][A-Z0-9_]*_[0-9]{{3,}}#')) AS used, coalesce(json_keys(entities), []) AS keys FROM t),
  g AS (SELECT draft_id, array_to_string(list_sort(list_filter(used, lambda x: NOT list_contains(keys, x))), ',') AS unlisted, array_to_string(list_sort(list_filter(keys, lambda x: NOT list_contains(used, x))), ',') AS unused FROM u) SELECT * FROM g WHERE unlisted <> '' OR unused <> ''""",
     "entity_edges": f"""WITH {_T}, k AS (SELECT draft_id, entities, unnest(json_keys(entities)) AS placeholder FROM t WHERE entities IS NOT NULL) SELECT draft_id, placeholder, json_extract_string(entities, '$."' || placeholder || '".type') AS type FROM k""",
