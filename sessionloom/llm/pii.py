@@ -10,8 +10,8 @@ Surrogates: every value is replaced by a keyed stand-in of the same type, script
 characters are a number in the mixed radix of their alphabets (digits; vowels and consonants; a list of given names of
 one gender), and a keyed permutation of all numbers of that shape without a fixed point gives the stand-in. So distinct values
 have distinct stand-ins and equal ones equal stand-ins, in a text, in a record and in the whole corpus, without any state
-or shuffle; the collision check that goes with each record raises if this failed. p2_found gives the places of these
-replacements. `redact` writes #TYPE_NNN# at the same places, numbered by first appearance of each distinct value (by its
+or shuffle. The collision check that goes with each record covers values of different shapes. p2_found gives the places
+of these replacements. `redact` writes #TYPE_NNN# at the same places, numbered by first appearance of each distinct value (by its
 normal form, so spellings of one value share a number).
 
 Results on odd input: null and empty texts give no rows and stay as they are; placeholders are never matched; repeated
@@ -287,7 +287,8 @@ def _characters(value: str, take: list[int], key: bytes, kind: str) -> str:
     low = [value[i].lower() for i in take]
     spaces = []
     for k, (i, c) in enumerate(zip(take, low)):
-        leading = k == 0 or take[k - 1] != i - 1 or not low[k - 1].isdigit()
+        # a house number does not begin with 0; elsewhere the same digits may be grouped in many ways
+        leading = kind == "ADDRESS" and (k == 0 or take[k - 1] != i - 1 or not low[k - 1].isdigit())
         spaces.append(_DIGITS[1:] if c in _DIGITS[1:] and leading else _DIGITS if c in _DIGITS else _OF.get(c, c))
     rank, size = 0, 1
     for c, space in zip(low, spaces):
@@ -344,17 +345,30 @@ def stand_in(kind: str, value: str, key: bytes) -> str:
     return _characters(value, take, key, kind)
 
 
+def _keys(key: bytes):
+    """The key in a form that the hash takes, then others made from it."""
+    key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
+    while True:
+        yield key
+        key = hashlib.blake2b(key).digest()
+
+
 def replacements(key: bytes, *texts: str | None) -> list[list[tuple[int, int, str, str]]]:
-    """(start, end, kind, stand-in) of every occurrence in the texts of one record; raises if two values share a stand-in."""
+    """(start, end, kind, stand-in) of every occurrence in the texts of one record.
+
+    Values of one shape cannot share a stand-in. Should values of different shapes do so (once in billions), the later one takes
+    the next key's stand-in, so that distinct values stay distinct.
+    """
     owner: dict[tuple[str, str], str] = {}
+    chosen: dict[tuple[str, str], bytes] = {}
     out = []
     for text in texts:
         rows = []
         for a, b, kind in spans(text):
-            new = stand_in(kind, text[a:b], key)
-            if owner.setdefault((kind, normal(kind, new)), normal(kind, text[a:b])) != normal(kind, text[a:b]):
-                raise ValueError(f"two values of kind {kind} share a stand-in")
-            rows.append((a, b, kind, new))
+            who = normal(kind, text[a:b])
+            if (kind, who) not in chosen:
+                chosen[kind, who] = next(k for k in _keys(key) if owner.setdefault((kind, normal(kind, stand_in(kind, text[a:b], k))), who) == who)
+            rows.append((a, b, kind, stand_in(kind, text[a:b], chosen[kind, who])))
         out.append(rows)
     return out
 

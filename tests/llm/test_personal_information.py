@@ -62,6 +62,20 @@ def test_surrogates_keep_form_and_spelling():
     assert pii.stand_in("PHONE", "+49 (30) 901-820", b"k").startswith("+49 (") and pii.stand_in("PHONE", "+49 (30) 901-820", b"a") != pii.stand_in("PHONE", "+49 (30) 901-820", b"k")
 
 
+def test_formats_of_one_number_share_a_stand_in():
+    text = "call (617) 555-0140 or 617.555.0140 or 617-555-0140, id QQ 63 49 39 B, QQ634939B, +44 20 7946 0230, +442079460230"
+    rows = pii.replacements(b"k", text)[0]
+    assert len(rows) == 7 and len({(kind, pii.normal(kind, text[a:b])) for a, b, kind, _ in rows}) == 3 == len({(kind, pii.normal(kind, new)) for _, _, kind, new in rows})
+
+
+def test_a_shared_stand_in_is_resolved(monkeypatch):
+    real = pii.stand_in
+    monkeypatch.setattr(pii, "stand_in", lambda kind, value, key: "x@y.test" if key == b"k" else real(kind, value, key))
+    first, second, again = pii.replacements(b"k", "a@one.test b@two.test a@one.test")[0]
+    assert first[3] == again[3] == "x@y.test" != second[3] and second[3].endswith(".test")
+    assert pii.surrogates(b"k" * 100, "a@one.test") != ["a@one.test"]
+
+
 def test_numbers_with_check_digits():
     text = "IBAN DE89 3704 0044 0532 0130 00 or DE88 3704 0044 0532 0130 00, cpf 529.982.247-25 or 529.982.247-24, DNI 12345678Z or 12345678A"
     assert [text[a:b] for a, b, kind in pii.spans(text) if kind == "ID"] == ["DE89 3704 0044 0532 0130 00", "529.982.247-25", "12345678Z"]
